@@ -96,7 +96,8 @@ def keyword_module(text: str) -> list:
             if not depth:
                 break
         body = re.sub(r"//[^\n]*|/\*.*?\*/", "", text[at : k + 1], flags=re.S)
-        body = re.sub(r"'((?:[^'\\]|\\.)*)'|`((?:[^`\\]|\\.)*)`", lambda q: json.dumps(q[1] or q[2] or ""), body)
+        quoted = r'"(?:[^"\\]|\\.)*"|\'((?:[^\'\\]|\\.)*)\'|`((?:[^`\\]|\\.)*)`'
+        body = re.sub(quoted, lambda q: q[0] if q[0][0] == '"' else json.dumps(re.sub(r"\\(.)", r"\1", q[1] or q[2] or "")), body)
         arrays[m[1] or "default"] = json.loads(re.sub(r",\s*([\]}])", r"\1", body))
     return next((arrays[n] for n in ("default", "KEYWORDS", "KEYWORDS_BPMN", "KEYWORDS_SYSML") if n in arrays), [])
 
