@@ -68,7 +68,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([*part.columns[:4], *(pa.array(c, t) for c, t in zip(columns, kinds[4:], strict=True))], schema=schema)
 
     given = docs.select(common.item(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.xxhash64("text").alias("body"), F.col("text").cast("string").alias("text"))
-    return given.mapInArrow(run, "item long, doc_id long, host string, body long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>")
+    return given.mapInArrow(lambda batches: common.released(run(batches)), "item long, doc_id long, host string, body long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>")
 
 
 def judge(docs: DataFrame, line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE, kept_share: float = KEPT_SHARE) -> DataFrame:

@@ -21,9 +21,9 @@ BITS = 12
 #: Grams scored by a broadcast table up to here (12 bytes each); beyond, documents' grams are joined by shuffle.
 TABLE_ROWS = 6_000_000
 #: Characters worked on at once.
-CHUNK = 1_000_000
+CHUNK = 500_000
 #: Distinct grams a task holds before it sends them on.
-HELD = 3_000_000
+HELD = 1_500_000
 
 
 def symbols(text: str) -> np.ndarray:
@@ -95,7 +95,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
         if parts:
             yield pa.record_batch([pa.array(x) for x in merged(parts)], schema=schema)
 
-    return docs.select("trusted", "text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select("trusted", "text").mapInArrow(lambda batches: common.released(run(batches)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: list[int]) -> tuple[float, float, float]:
@@ -186,7 +186,7 @@ def scores(docs: DataFrame, table: DataFrame, table_rows: int = TABLE_ROWS) -> D
                     sizes.append(n)
                 yield pa.record_batch([*batch.columns[:3], pa.array(np.concatenate(totals)), pa.array(np.concatenate(sizes))], schema=schema)
 
-        return docs.select("item", "doc_id", "lang", "text").mapInArrow(run, "item long, doc_id long, lang string, total double, n long")
+        return docs.select("item", "doc_id", "lang", "text").mapInArrow(lambda batches: common.released(run(batches)), "item long, doc_id long, lang string, total double, n long")
 
     schema = pa.schema([("item", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
 
@@ -196,7 +196,7 @@ def scores(docs: DataFrame, table: DataFrame, table_rows: int = TABLE_ROWS) -> D
                 keys, n = np.unique(grams([text.as_py() or ""])[0], return_counts=True)
                 yield pa.record_batch([pa.array(np.full(len(keys), item)), pa.array(keys), pa.array(n)], schema=schema)
 
-    own = docs.select("item", "text").mapInArrow(spread, "item long, gram long, n long")
+    own = docs.select("item", "text").mapInArrow(lambda batches: common.released(spread(batches)), "item long, gram long, n long")
     summed = own.join(table, "gram").groupBy("item").agg(F.sum(F.col("n") * F.col("lp")).alias("total"), F.sum("n").alias("n"))
     return docs.select("item", "doc_id", "lang").join(summed, "item", "left").select("item", "doc_id", "lang", F.coalesce("total", F.lit(0.0)).alias("total"), common.whole_number(F.col("n")).alias("n"))
 

@@ -223,7 +223,7 @@ def packed_matrices(docs: DataFrame, tokenizer: str | None = None, capacity: int
         if held:
             yield pa.RecordBatch.from_pylist([matrix(block, held)], schema=schema)
 
-    return ready.mapInArrow(run, "block long, first_sequence long, n_rows int, ids binary, row_starts array<int>, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, starts array<long>")
+    return ready.mapInArrow(lambda batches: common.released(run(batches)), "block long, first_sequence long, n_rows int, ids binary, row_starts array<int>, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, starts array<long>")
 
 
 def unpacked(matrix, capacity: int) -> list[tuple[int, int, list[int]]]:

@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, more: int = 0) -> DataFrame:
             yield pa.record_batch([*batch.columns[:2], pa.array(fps, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], schema=schema)
 
     given = docs.select(common.item(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return given.mapInArrow(run, "item long, doc_id long, fp long, more array<long>")
+    return given.mapInArrow(lambda batches: common.released(run(batches)), "item long, doc_id long, fp long, more array<long>")
 
 
 def signed(x: int) -> int:

@@ -2,7 +2,8 @@
 
 Ids are those of the byte-level BPE in `byte_bpe_50k.json`. Its pre-tokeniser never joins characters across a single
 space that stands between two non-space characters, so a text is cut there and each cut is encoded once per worker and
-looked up afterwards. The lookup is cleared when full: its size is bounded and never changes a result. Texts with other
+looked up afterwards. The lookup is cleared when full and after each task: its size is bounded and never changes a
+result. Texts with other
 runs of white space are encoded whole.
 """
 
@@ -17,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Ends each document.
 END_ID = 2
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -121,7 +124,8 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, most: int = 1024
                     yield pa.record_batch([pa.array(c, f[1]) for c, f in zip(out, fields, strict=True)], schema=schema)
                     out, held = [[] for _ in fields], 0
             yield pa.record_batch([pa.array(c, f[1]) for c, f in zip(out, fields, strict=True)], schema=schema)
+        encoder(path).seen.clear()
 
     ddl = "doc_id long, row long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
-    return given.mapInArrow(run, ddl)
+    return given.mapInArrow(lambda batches: common.released(run(batches)), ddl)
