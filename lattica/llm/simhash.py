@@ -139,8 +139,10 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
 
 #: Further fingerprints of the wide step: 1024 bits tell 0.8 from 0.7 apart, 64 do not.
 MORE = 15
-#: Partners proposed to each member of a group of equal sampled coordinates, in each table.
+#: Partners proposed to each member of a group of equal sampled coordinates, in each table; and in the first round, which
+#: joins most members of large groups before the full reach is spent on what is left.
 REACH = 16
+FIRST_REACH = 2
 
 
 def disagreement(similarity: float) -> float:
@@ -160,13 +162,13 @@ def allowed(bits: int, similarity: float, slack: float) -> int:
     return int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
-def wide_links(reps: DataFrame, similarity: float, spare: float = 3.0, slack: float = 2.0) -> tuple[DataFrame, bool]:
+def wide_links(reps: DataFrame, similarity: float, reach: int = REACH, spare: float = 3.0, slack: float = 2.0) -> tuple[DataFrame, bool]:
     """Edges (a, b), b < a, between reps(fp, words) whose 1024 bits say `similarity` or more, and if a group was crowded.
 
     Each table samples coordinates (differences of distances to single-bit references) and groups equal ones; a pair at
     the similarity meets in `spare` tables on average. The pair links if its differing bits are at most the expected
     number plus `slack` standard deviations; before the further fingerprints are fetched, the first 64 bits alone discard
-    pairs beyond three. A member is compared with the next REACH of its group, in an order of each
+    pairs beyond three. A member is compared with the next `reach` of its group, in an order of each
     table's own; `near_duplicates` repeats on what is left if a group was larger.
     """
     n = reps.count()
@@ -177,13 +179,13 @@ def wide_links(reps: DataFrame, similarity: float, spare: float = 3.0, slack: fl
     keys = F.transform(F.array(*map(F.lit, masks)), lambda m, i: F.xxhash64(i, F.element_at("words", (i % (MORE + 1) + 1).cast("int")).bitwiseAND(m)))
     rows = reps.select("fp", F.explode(keys).alias("key"))
     group = Window.partitionBy("key").orderBy(F.xxhash64("fp", "key"), "fp")
-    ahead = rows.select("fp", F.collect_list("fp").over(group.rowsBetween(1, REACH + 1)).alias("next"))
-    ahead = common.keep(ahead.where(F.size("next") > 0).select("fp", F.size("next").alias("n"), F.explode(F.slice("next", 1, REACH)).alias("other")).where(distance(F.col("fp"), F.col("other")) <= allowed(64, similarity, 3.0)).groupBy(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")).agg(F.max("n").alias("n")), "wide")
+    ahead = rows.select("fp", F.collect_list("fp").over(group.rowsBetween(1, reach + 1)).alias("next"))
+    ahead = common.keep(ahead.where(F.size("next") > 0).select("fp", F.size("next").alias("n"), F.explode(F.slice("next", 1, reach)).alias("other")).where(distance(F.col("fp"), F.col("other")) <= allowed(64, similarity, 3.0)).groupBy(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")).agg(F.max("n").alias("n")), "wide")
     x, y = (reps.select(F.col("fp").alias(c), F.col("words").alias(w)) for c, w in (("a", "wa"), ("b", "wb")))
     differ = F.aggregate(F.zip_with("wa", "wb", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
     met = ahead.join(x, "a").join(y, "b").where(differ <= most).select("a", "b", "n")
     met = common.keep(met, "met")
-    return met.select("a", "b"), bool(met.where(F.col("n") > REACH).limit(1).count())
+    return met.select("a", "b"), bool(met.where(F.col("n") > reach).limit(1).count())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
@@ -192,7 +194,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, similari
     Fingerprints within `radius` bits link; component_id is the smallest doc_id that links reach, itself included (null
     only if all its ids are). With `similarity`, the least fingerprint of each such component then stands for it, and
     those whose further fingerprints say that similarity link too. This is repeated on what then stands for the components
-    for as long as a pair was found in a crowded group; every such round leaves fewer, so it ends.
+    at full reach, for as long as a pair was found in a crowded group; every such round leaves fewer, so it ends.
     `first` marks one row of each component: of the smallest doc_id, then item. Null, empty and white-space texts have
     fingerprint 0, linked like any other; repeated rows and null ids stay rows; an empty table gives no rows; other
     columns are ignored.
@@ -203,10 +205,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, similari
     joined = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     if similarity:
         joined = common.keep(joined, "roots")
-        crowded = True
-        while crowded:
+        reach, again = FIRST_REACH, True
+        while again:
             reps = common.keep(joined.where("fp = root").select("fp", "words"), "reps")
-            edges, crowded = wide_links(reps, similarity)
+            edges, crowded = wide_links(reps, similarity, reach)
+            again, reach = crowded or reach < REACH, REACH
             upper = components.components(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))
             joined = common.keep(joined.join(common.small(upper), "root", "left").select("fp", "least", "words", F.coalesce("top", "root").alias("root")), "roots")
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
