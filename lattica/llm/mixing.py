@@ -16,6 +16,8 @@ from . import common
 
 #: Ordered documents of one range: what one task sorts.
 RANGE_ROWS = 2_000
+#: Seed of the shuffle within a source.
+SEED = 42
 
 
 def targets(sizes: list[tuple], weights: tuple[float, ...], most: float) -> list[tuple]:
@@ -39,7 +41,13 @@ def words(text) -> F.Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(common.WORD)).cast("long")
 
 
-def schedule(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def shuffle_key(seed: int) -> F.Column:
+    """A uniform number below 2^60 from id and text: 15 digits of MD5, which SQL engines share."""
+    name = F.concat_ws("\0", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
+
+
+def schedule(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(items, schedule) of docs(doc_id, text, source).
 
     items: item, doc_id, size, source_size, target of each row (item numbers the rows: repeated or null ids stay apart).
@@ -48,7 +56,7 @@ def schedule(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int
     empty table gives empty frames. The number of sources is held on the driver: a few numbers for each.
     """
     spark = docs.sparkSession
-    sized = docs.select(common.item(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("key"))
+    sized = docs.select(common.item(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), shuffle_key(seed).alias("key"))
     base = common.keep(sized, "mix")
     per = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     shares = targets([(r["source"], r["size"]) for r in per], weights, most)
@@ -56,7 +64,7 @@ def schedule(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int
     sources = spark.createDataFrame([(s, n, t, ranges[s]) for s, n, t in shares], "source string, source_size long, target double, ranges long")
     items = base.join(F.broadcast(sources), base["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     # A range holds an equal slice of the uniform keys, so ranges of a source are even and stand in key order.
-    part = F.floor(((F.col("key") / F.lit(2.0**64)) + 0.5) * F.col("ranges")).cast("long")
+    part = F.floor(F.col("key") / F.lit(2.0**60) * F.col("ranges")).cast("long")
     items = items.withColumn("part", F.least(F.greatest(part, F.lit(0)), F.col("ranges") - 1))
     sums = items.groupBy("source", "part").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -81,7 +89,7 @@ def schedule(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int
     return items.select("item", "doc_id", "size", "source_size", "target"), cut.select("item", "epoch", "finish", "taken", "offset")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = SEED) -> DataFrame:
     """A row per row of docs: item, doc_id, size, source_size, target and the words taken, repeats counted."""
     items, entries = schedule(docs, weights, most, seed)
     taken = entries.groupBy("item").agg(F.sum("taken").alias("taken"))

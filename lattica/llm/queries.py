@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import licenses, lines, mixing, nearest, ngram, packing, sharding, simhash, urls
 from .common import table, text_of
+from .oracles import ORACLES
 
 
 def op1_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +63,4 @@ QUERIES = {f.__name__: f for f in (op1_token_matrices, op2_ngram_quality, op3_ex
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
