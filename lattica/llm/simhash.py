@@ -143,6 +143,8 @@ MORE = 15
 #: joins most members of large groups before the full reach is spent on what is left.
 REACH = 16
 FIRST_REACH = 2
+#: Bits more that the tables of each deeper level sample, for members of groups that stay crowded.
+DEEPER = 6
 
 
 def disagreement(similarity: float) -> float:
@@ -150,10 +152,13 @@ def disagreement(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def tables(rows: int, similarity: float, spare: float) -> tuple[int, int]:
-    """(bits, tables): bits grow with log2 of the rows, so that chance collisions don't, and tables keep the recall."""
-    bits = max(16, math.ceil(math.log2(max(rows, 2))) + 4)
-    return bits, math.ceil(spare / (1 - disagreement(similarity)) ** bits)
+def tables(rows: int, similarity: float, spare: float, level: int = 0) -> tuple[int, int]:
+    """(bits, tables): bits grow with log2 of the rows, so that chance collisions don't, and tables keep the recall.
+
+    Each level samples DEEPER more bits. With all 64 bits there are no more tables than further fingerprints.
+    """
+    bits = min(64, max(16, math.ceil(math.log2(max(rows, 2))) + 4) + DEEPER * level)
+    return bits, MORE + 1 if bits == 64 else math.ceil(spare / (1 - disagreement(similarity)) ** bits)
 
 
 def allowed(bits: int, similarity: float, slack: float) -> int:
@@ -162,30 +167,33 @@ def allowed(bits: int, similarity: float, slack: float) -> int:
     return int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
-def wide_links(reps: DataFrame, similarity: float, reach: int = REACH, spare: float = 3.0, slack: float = 2.0) -> tuple[DataFrame, bool]:
-    """Edges (a, b), b < a, between reps(fp, words) whose 1024 bits say `similarity` or more, and if a group was crowded.
+def wide_links(reps: DataFrame, rows: int, similarity: float, reach: int = REACH, level: int = 0, spare: float = 3.0, slack: float = 2.0) -> tuple[DataFrame, DataFrame, bool]:
+    """Edges (a, b), b < a, between reps(fp, words) whose 1024 bits say `similarity` or more; the fp of all members of
+    crowded groups; and if a pair was found in one.
 
     Each table samples coordinates (differences of distances to single-bit references) and groups equal ones; a pair at
     the similarity meets in `spare` tables on average. The pair links if its differing bits are at most the expected
     number plus `slack` standard deviations; before the further fingerprints are fetched, the first 64 bits alone discard
-    pairs beyond three. A member is compared with the next `reach` of its group, in an order of each
-    table's own; `near_duplicates` repeats on what is left if a group was larger.
+    pairs beyond three. A member is compared with the next `reach` of its group, in an order of each table's own. A group
+    with members beyond reach of each other is crowded: `near_duplicates` repeats on these.
     """
-    n = reps.count()
-    bits, count = tables(n, similarity, spare)
+    bits, count = tables(rows, similarity, spare, level)
     rng = np.random.default_rng(256)
     masks = [signed(sum(1 << int(b) for b in rng.choice(64, bits, replace=False))) for _ in range(count)]
     most = allowed(64 * (MORE + 1), similarity, slack)
     keys = F.transform(F.array(*map(F.lit, masks)), lambda m, i: F.xxhash64(i, F.element_at("words", (i % (MORE + 1) + 1).cast("int")).bitwiseAND(m)))
-    rows = reps.select("fp", F.explode(keys).alias("key"))
+    dealt = reps.select("fp", F.explode(keys).alias("key"))
     group = Window.partitionBy("key").orderBy(F.xxhash64("fp", "key"), "fp")
-    ahead = rows.select("fp", F.collect_list("fp").over(group.rowsBetween(1, reach + 1)).alias("next"))
-    ahead = common.keep(ahead.where(F.size("next") > 0).select("fp", F.size("next").alias("n"), F.explode(F.slice("next", 1, reach)).alias("other")).where(distance(F.col("fp"), F.col("other")) <= allowed(64, similarity, 3.0)).groupBy(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")).agg(F.max("n").alias("n")), "wide")
+    ahead = dealt.select("fp", F.collect_list("fp").over(group.rowsBetween(1, reach + 1)).alias("next"), F.row_number().over(group).alias("at"))
+    # A member with others beyond its reach, before or after it, is paired with itself too: that marks it as crowded.
+    beyond = (F.size("next") > reach) | (F.col("at") > reach + 1)
+    others = F.concat(F.slice("next", 1, reach), F.when(beyond, F.array("fp")).otherwise(F.array().cast("array<bigint>")))
+    met = ahead.where((F.size("next") > 0) | beyond).select("fp", F.size("next").alias("n"), F.explode(others).alias("other")).where(distance(F.col("fp"), F.col("other")) <= allowed(64, similarity, 3.0))
+    met = common.keep(met.groupBy(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")).agg(F.max("n").alias("n")), "wide")
     x, y = (reps.select(F.col("fp").alias(c), F.col("words").alias(w)) for c, w in (("a", "wa"), ("b", "wb")))
     differ = F.aggregate(F.zip_with("wa", "wb", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
-    met = ahead.join(x, "a").join(y, "b").where(differ <= most).select("a", "b", "n")
-    met = common.keep(met, "met")
-    return met.select("a", "b"), bool(met.where(F.col("n") > reach).limit(1).count())
+    linked = common.keep(met.where("a > b").join(x, "a").join(y, "b").where(differ <= most).select("a", "b", "n"), "met")
+    return linked.select("a", "b"), met.where("a = b").select(F.col("a").alias("fp")), bool(linked.where(F.col("n") > reach).limit(1).count())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
@@ -194,7 +202,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, similari
     Fingerprints within `radius` bits link; component_id is the smallest doc_id that links reach, itself included (null
     only if all its ids are). With `similarity`, the least fingerprint of each such component then stands for it, and
     those whose further fingerprints say that similarity link too. This is repeated on what then stands for the components
-    at full reach, for as long as a pair was found in a crowded group; every such round leaves fewer, so it ends.
+    at full reach, for as long as a pair was found in a crowded group. Members of groups that then are still crowded go on
+    alone to tables of more bits and a like recall, which part what met by chance or by a shared passage, until no group
+    is crowded or all 64 bits are in use. Every round leaves fewer rows or adds bits, so it ends.
     `first` marks one row of each component: of the smallest doc_id, then item. Null, empty and white-space texts have
     fingerprint 0, linked like any other; repeated rows and null ids stay rows; an empty table gives no rows; other
     columns are ignored.
@@ -205,13 +215,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, similari
     joined = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     if similarity:
         joined = common.keep(joined, "roots")
-        reach, again = FIRST_REACH, True
-        while again:
-            reps = common.keep(joined.where("fp = root").select("fp", "words"), "reps")
-            edges, crowded = wide_links(reps, similarity, reach)
-            again, reach = crowded or reach < REACH, REACH
+        among, level, reach, n = None, 0, FIRST_REACH, joined.where("fp = root").count()
+        while True:
+            reps = joined.where("fp = root").select("fp", "words")
+            reps = common.keep(reps.join(common.small(among), "fp", "left_semi") if among else reps, "reps")
+            edges, crowd, found = wide_links(reps, n, similarity, reach, level)
             upper = components.components(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))
             joined = common.keep(joined.join(common.small(upper), "root", "left").select("fp", "least", "words", F.coalesce("top", "root").alias("root")), "roots")
+            if not found and reach == REACH:
+                among, level = crowd, level + 1
+                if tables(n, similarity, 1.0, level - 1)[0] == 64 or not among.limit(1).count():
+                    break
+            reach = REACH
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     of = joined.select("fp", "root").join(ids, "root").select("fp", "component_id", "root")
     out = seen.join(common.small(of), "fp").select("item", "doc_id", "fp", "component_id", "root")

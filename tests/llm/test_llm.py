@@ -197,6 +197,23 @@ def test_wide_step_joins_similar_texts_only(spark):
     assert all(got[d] == (d - (d % 3 == 1), d % 3 != 1) for d in got)
 
 
+def test_crowded_groups_lose_no_pair(spark, monkeypatch):
+    """Texts that share three quarters of their words crowd every table at reach 1; copies of one are found nonetheless."""
+    monkeypatch.setattr(simhash, "REACH", 1)
+    monkeypatch.setattr(simhash, "FIRST_REACH", 1)
+    asked = []
+    real = simhash.tables
+    monkeypatch.setattr(simhash, "tables", lambda rows, similarity, spare, level=0: asked.append(level) or real(rows, similarity, spare, level))
+    rng = np.random.default_rng(5)
+    shared = [f"s{x}" for x in rng.integers(0, 50_000, 300)]
+    rows = []
+    for k in range(120):
+        own = [f"w{x}" for x in rng.integers(0, 50_000, 150)]
+        rows += [(2 * k, " ".join(shared + own))] + ([(2 * k + 1, " ".join([*shared, *own[:70], "changed", *own[71:]]))] if k % 4 == 0 else [])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 2, 0.8).collect()}
+    assert got == {d: d - d % 2 for d in got} and max(asked) > 0
+
+
 def test_lines(spark, docs, empty):
     def slow(text):
         import re
