@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -20,6 +21,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_ROWS = 2_000
 #: A side is broadcast only if it was counted and has at most this many narrow rows.
 BROADCAST_ROWS = 2_000_000
+#: Rows and bytes of an Arrow batch in written steps, at most: texts are long, and JVM and worker hold a batch several
+#: times over.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 _own: dict[str, str] = {}
 
@@ -41,11 +45,26 @@ def scratch(spark: SparkSession) -> str:
     return _own[app]
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH for what is run inside; the session's own settings are put back."""
+    own = {k: spark.conf.get(k) for k in BATCH}
+    try:
+        for k, most in BATCH.items():
+            if not 0 < int(own[k].rstrip("b")) <= most:
+                spark.conf.set(k, str(most))
+        yield
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs a re-read only."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,11 +6,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lattica.llm import components, licenses, lines, mixing, nearest, ngram, packing, sharding, simhash, tokens, urls
+from lattica.llm import common, components, licenses, lines, mixing, nearest, ngram, packing, sharding, simhash, tokens, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, row string, item string"
 
@@ -214,6 +215,24 @@ def test_crowded_groups_lose_no_pair(spark, monkeypatch):
     assert got == {d: d - d % 2 for d in got} and max(asked) > 0
 
 
+def test_written_steps_have_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = {k: spark.conf.get(k) for k in common.BATCH}
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows])], names=["n"])
+
+    try:
+        for own, most in (("10000", 1000), ("70", 70), ("0", 1000)):
+            spark.conf.set(name, own)
+            got = common.keep(spark.range(3000, numPartitions=1).mapInArrow(sizes, "n long"), "sizes").agg(F.max("n")).first()[0]
+            assert got == most and spark.conf.get(name) == own
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_lines(spark, docs, empty):
     def slow(text):
         import re
