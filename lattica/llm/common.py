@@ -100,9 +100,8 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def released(batches: Iterator) -> Iterator:
-    """The batches, and then, at the end of a task, freed memory given back: workers are kept for later tasks."""
-    yield from batches
+def give_back() -> None:
+    """Give freed memory of this process back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -111,6 +110,12 @@ def released(batches: Iterator) -> Iterator:
         pass
 
 
+def released(batches: Iterator) -> Iterator:
+    """The batches, and then, at the end of a task, freed memory given back: workers are kept for later tasks."""
+    yield from batches
+    give_back()
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

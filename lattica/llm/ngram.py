@@ -135,7 +135,8 @@ def log_table(counted: DataFrame) -> DataFrame:
         scored = scored.join(common.small(seen), low(F.col("gram"), n) == F.col("__gram"), "left").drop("__gram")
         scored = scored.join(common.small(totals), F.shiftright(low(F.col("gram"), n), BITS) == F.col("context"), "left").drop("context")
         own = F.coalesce(F.greatest(c - cut, F.lit(0.0)) / F.col("total"), F.lit(0.0))
-        scored = scored.select("gram", (own + F.coalesce("gamma", F.lit(1.0)) * F.col("p")).alias("p"))
+        # Written at each order: one plan of all ten joins is planned again on the driver after each of its many stages.
+        scored = common.keep(scored.select("gram", (own + F.coalesce("gamma", F.lit(1.0)) * F.col("p")).alias("p")), f"upto{n}")
     return scored.select("gram", F.log("p").cast("float").alias("lp"))
 
 
@@ -170,6 +171,8 @@ def scores(docs: DataFrame, table: DataFrame, table_rows: int = TABLE_ROWS) -> D
     if table.limit(table_rows + 1).count() <= table_rows:
         got = table.toArrow()
         shared = spark.sparkContext.broadcast((got.column("gram").to_numpy(), got.column("lp").to_numpy()))
+        del got
+        common.give_back()
         held: list[Lookup] = []
         schema = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("total", pa.float64()), ("n", pa.int64())])
 
