@@ -84,7 +84,9 @@ def spearman(matrix: DataFrame, a: str, b: str, partition: list[str] | None = No
     rows = matrix.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     keyed = rows.withColumn("__all", F.lit(1))
     ranked = keyed.withColumns({"__ra": average_rank(a, [*by, "__all"]), "__rb": average_rank(b, [*by, "__all"])})
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__ra", "__rb").alias("rho"))
+    # Not corr(): it raises on a constant column in ANSI mode.
+    rho = F.try_divide(F.covar_pop("__ra", "__rb"), F.stddev_pop("__ra") * F.stddev_pop("__rb"))
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), rho.alias("rho"))
     return out.withColumn("rho", F.when((F.col("n") > 1) & ~F.isnan("rho"), F.col("rho")))
 
 
