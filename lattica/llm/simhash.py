@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from . import common, components
+from . import common, components, prefixed
 
 BLOCKS = 5
 #: Distinct fingerprints equal on a choice of blocks, above which they are linked by common neighbours.
@@ -167,70 +167,98 @@ def allowed(bits: int, similarity: float, slack: float) -> int:
     return int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
-def wide_links(reps: DataFrame, rows: int, similarity: float, reach: int = REACH, level: int = 0, spare: float = 3.0, slack: float = 2.0) -> tuple[DataFrame, DataFrame, bool]:
-    """Edges (a, b), b < a, between reps(fp, words) whose 1024 bits say `similarity` or more; the fp of all members of
-    crowded groups; and if a pair was found in one.
+def wide_links(reps: DataFrame, rows: int, similarity: float, reach: int = REACH, level: int = 0, spare: float = 3.0, slack: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """Proposed edges (a, b, crowded), b < a, between reps(node, fp, words) whose 1024 bits say `similarity` or more, with
+    whether a crowded group proposed them; and the nodes of all members of crowded groups.
 
-    Each table samples coordinates (differences of distances to single-bit references) and groups equal ones; a pair at
-    the similarity meets in `spare` tables on average. The pair links if its differing bits are at most the expected
-    number plus `slack` standard deviations; before the further fingerprints are fetched, the first 64 bits alone discard
-    pairs beyond three. A member is compared with the next `reach` of its group, in an order of each table's own. A group
-    with members beyond reach of each other is crowded: `near_duplicates` repeats on these.
+    Each table samples coordinates (differences of distances to single-bit references) and groups equal ones. The pair is
+    proposed if its differing bits are at most the expected number plus `slack` standard deviations; before the further
+    fingerprints are fetched, the first 64 bits alone discard pairs beyond three. A member is compared with the next
+    `reach` of its group, in an order of each table's own. A group with members beyond reach of each other is crowded.
+    All tables draw on the same 1024 bits, so their recall is not that of independent ones: nothing rests on it.
     """
     bits, count = tables(rows, similarity, spare, level)
     rng = np.random.default_rng(256)
     masks = [signed(sum(1 << int(b) for b in rng.choice(64, bits, replace=False))) for _ in range(count)]
     most = allowed(64 * (MORE + 1), similarity, slack)
     keys = F.transform(F.array(*map(F.lit, masks)), lambda m, i: F.xxhash64(i, F.element_at("words", (i % (MORE + 1) + 1).cast("int")).bitwiseAND(m)))
-    dealt = reps.select("fp", F.explode(keys).alias("key"))
-    group = Window.partitionBy("key").orderBy(F.xxhash64("fp", "key"), "fp")
-    ahead = dealt.select("fp", F.collect_list("fp").over(group.rowsBetween(1, reach + 1)).alias("next"), F.row_number().over(group).alias("at"))
+    dealt = reps.select("node", "fp", F.explode(keys).alias("key"))
+    group = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node")
+    ahead = dealt.select("node", "fp", F.collect_list(F.struct("node", "fp")).over(group.rowsBetween(1, reach + 1)).alias("next"), F.row_number().over(group).alias("at"))
     # A member with others beyond its reach, before or after it, is paired with itself too: that marks it as crowded.
     beyond = (F.size("next") > reach) | (F.col("at") > reach + 1)
-    others = F.concat(F.slice("next", 1, reach), F.when(beyond, F.array("fp")).otherwise(F.array().cast("array<bigint>")))
-    met = ahead.where((F.size("next") > 0) | beyond).select("fp", F.size("next").alias("n"), F.explode(others).alias("other")).where(distance(F.col("fp"), F.col("other")) <= allowed(64, similarity, 3.0))
-    met = common.keep(met.groupBy(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")).agg(F.max("n").alias("n")), "wide")
-    x, y = (reps.select(F.col("fp").alias(c), F.col("words").alias(w)) for c, w in (("a", "wa"), ("b", "wb")))
+    own = F.array(F.struct("node", "fp"))
+    others = F.concat(F.slice("next", 1, reach), F.when(beyond, own).otherwise(F.slice(own, 1, 0)))
+    met = ahead.where((F.size("next") > 0) | beyond).select("node", "fp", F.size("next").alias("n"), F.explode(others).alias("o")).where(distance(F.col("fp"), F.col("o.fp")) <= allowed(64, similarity, 3.0))
+    met = common.keep(met.groupBy(F.greatest("node", "o.node").alias("a"), F.least("node", "o.node").alias("b")).agg(F.max("n").alias("n")), "wide")
+    x, y = (reps.select(F.col("node").alias(c), F.col("words").alias(w)) for c, w in (("a", "wa"), ("b", "wb")))
     differ = F.aggregate(F.zip_with("wa", "wb", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
     linked = common.keep(met.where("a > b").join(x, "a").join(y, "b").where(differ <= most).select("a", "b", "n"), "met")
-    return linked.select("a", "b"), met.where("a = b").select(F.col("a").alias("fp")), bool(linked.where(F.col("n") > reach).limit(1).count())
+    return linked.select("a", "b", (F.col("n") > reach).alias("crowded")), met.where("a = b").select(F.col("a").alias("node"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
-    """item, doc_id, fp, component_id and first of each row of docs(doc_id, text).
+    """item, doc_id, fp and component_id of each row of docs(doc_id, text); with `similarity` also first.
 
     Fingerprints within `radius` bits link; component_id is the smallest doc_id that links reach, itself included (null
-    only if all its ids are). With `similarity`, the least fingerprint of each such component then stands for it, and
-    those whose further fingerprints say that similarity link too. This is repeated on what then stands for the components
-    at full reach, for as long as a pair was found in a crowded group. Members of groups that then are still crowded go on
-    alone to tables of more bits and a like recall, which part what met by chance or by a shared passage, until no group
-    is crowded or all 64 bits are in use. Every round leaves fewer rows or adds bits, so it ends.
-    `first` marks one row of each component: of the smallest doc_id, then item. Null, empty and white-space texts have
+    only if all its ids are). With `similarity`, `similar` links instead. Null, empty and white-space texts have
     fingerprint 0, linked like any other; repeated rows and null ids stay rows; an empty table gives no rows; other
     columns are ignored.
     """
-    seen = common.keep(fingerprints(docs, shingle, MORE if similarity else 0), "fingerprints")
-    fps = common.keep(seen.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.concat(F.array("fp"), "more")).alias("words")), "distinct")
+    if similarity:
+        return similar(docs, shingle, similarity)
+    seen = common.keep(fingerprints(docs, shingle), "fingerprints")
+    fps = common.keep(seen.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components.components(links(fps, radius))
     joined = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    if similarity:
-        joined = common.keep(joined, "roots")
-        among, level, reach, n = None, 0, FIRST_REACH, joined.where("fp = root").count()
-        while True:
-            reps = joined.where("fp = root").select("fp", "words")
-            reps = common.keep(reps.join(common.small(among), "fp", "left_semi") if among else reps, "reps")
-            edges, crowd, found = wide_links(reps, n, similarity, reach, level)
-            upper = components.components(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))
-            joined = common.keep(joined.join(common.small(upper), "root", "left").select("fp", "least", "words", F.coalesce("top", "root").alias("root")), "roots")
-            if not found and reach == REACH:
-                among, level = crowd, level + 1
-                if tables(n, similarity, 1.0, level - 1)[0] == 64 or not among.limit(1).count():
-                    break
-            reach = REACH
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = joined.select("fp", "root").join(ids, "root").select("fp", "component_id", "root")
-    out = seen.join(common.small(of), "fp").select("item", "doc_id", "fp", "component_id", "root")
-    if not similarity:
-        return out.drop("root")
+    of = joined.select("fp", "root").join(ids, "root").select("fp", "component_id")
+    return seen.join(common.small(of), "fp").select("item", "doc_id", "fp", "component_id")
+
+
+def similar(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """item, doc_id, fp, component_id and first of each row of docs(doc_id, text): texts link if the Jaccard similarity
+    of their sets of distinct word shingles is at least `similarity`, by those sets and by nothing else.
+
+    Texts of equal sets are one node. The bits of `wide_links` propose pairs, which are checked on the sets and linked.
+    This is repeated on the least node of each component at full reach, for as long as a linked pair came from a crowded
+    group; members of groups still crowded go on to tables of more bits. Whatever these rounds miss, `prefixed.links`
+    finds: it compares all nodes that can be similar and are not yet in one component. So the rounds only spare it
+    pairs, and the components are those of all similar pairs, whatever the bits, groups and number of rows.
+    `first` marks one row of each component: of the smallest doc_id, then item. Texts without words are one node.
+    """
+    docs = docs if common.ITEM in docs.columns else common.numbered(docs)
+    hot = prefixed.frequent(docs, shingle)
+    seen = common.keep(prefixed.profiles(docs, shingle, similarity, hot, MORE), "profiles")
+    nodes = seen.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("item").alias("sample"), F.min("size").alias("size"), F.min(F.concat(F.array("fp"), "more")).alias("words"))
+    joined = common.keep(nodes.withColumn("fp", F.element_at("words", 1)).withColumn("root", F.col("node")), "roots")
+    sets = prefixed.Sets(docs, joined.select("node", "sample"), shingle, similarity)
+
+    def merged(edges: DataFrame) -> DataFrame:
+        upper = components.components(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        return common.keep(joined.join(common.small(upper), "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top"), "roots")
+
+    among, level, reach, n = None, 0, FIRST_REACH, joined.count()
+    while True:
+        reps = joined.where("node = root").select("node", "fp", "words")
+        reps = common.keep(reps.join(common.small(among), "node", "left_semi") if among else reps, "reps")
+        proposed, crowd = wide_links(reps, n, similarity, reach, level)
+        edges = sets.checked(proposed)
+        # Only checked pairs count: they leave fewer rows, so the rounds end.
+        found = bool(edges.join(proposed.where("crowded"), ["a", "b"], "left_semi").limit(1).count())
+        joined = merged(edges)
+        if not found and reach == REACH:
+            among, level = crowd, level + 1
+            if tables(n, similarity, 1.0, level - 1)[0] == 64 or not among.limit(1).count():
+                break
+        reach = REACH
+    # Components of components: an edge of two nodes is one of their roots.
+    rest = sets.checked(prefixed.links(seen, joined, similarity))
+    root = joined.select("node", "root")
+    rest = rest.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+    joined = merged(rest.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).where("a > b").distinct())
+    ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = joined.select("node", "root").join(ids, "root")
+    out = seen.join(common.small(of), "node").select("item", "doc_id", "fp", "component_id", "root")
     one = out.groupBy("root").agg(F.min_by("item", F.struct(F.col("doc_id").isNull(), "doc_id", "item")).alias("item")).select("item", F.lit(True).alias("first"))
     return out.drop("root").join(common.small(one), "item", "left").withColumn("first", F.coalesce("first", F.lit(False)))
