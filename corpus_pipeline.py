@@ -12,8 +12,8 @@ from lattica.llm import common, lines, mixing, ngram, packing, simhash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    given = common.numbered(docs)
-    return common.without(given, lines.judge(given).where(~F.col("kept")))
+    """Documents that the rules keep, their text less the lines that the rules remove."""
+    return lines.cleaned(common.numbered(docs))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
