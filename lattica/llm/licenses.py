@@ -15,6 +15,8 @@ from . import common
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
@@ -25,12 +27,18 @@ TEMPLATES = {
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
+#: The whole licence beside its permission notice, which also stands alone.
+TEMPLATES["MIT-license"] = TEMPLATES["MIT-text"] + " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 _mark = re.compile(r"[^\w.\-]+|[.\-]+(?!\w)|(?<!\w)[.\-]+")
 
 
+def words_of(text: str) -> list[str]:
+    return _mark.sub(" ", text.lower()).split()
+
+
 def bigrams(text: str) -> set[tuple[str, str]]:
     """Distinct word bigrams of a normalised text: lower case, marks to spaces; a single word pairs with nothing."""
-    words = _mark.sub(" ", text.lower()).split()
+    words = words_of(text)
     return set(zip(words, words[1:])) if len(words) > 1 else {(w, "") for w in words}
 
 
@@ -60,12 +68,57 @@ class Matcher:
                 found = score, self.of[k][0]
         return found
 
+    def window(self, text: str) -> tuple[float, str, int] | None:
+        """Largest coefficient over all windows of the text's words, its template, and the window's first line.
+
+        A window of the coefficient has at least least / (2 - least) of the template's bigrams; texts with fewer are
+        passed over. A best window begins and ends with bigrams of the template, and only one that it had not yet makes
+        it better: so each such beginning is drawn out, its distinct bigrams counted, until it has all that the text
+        has, or more distinct ones than any match.
+        """
+        words = words_of(text)
+        pairs = list(zip(words, words[1:]))
+        own = set(pairs)
+        found = None
+        for (name, template), (lo, hi) in zip(self.of, self.bounds, strict=True):
+            shared = len(own & template)
+            if shared < lo - 1e-9:
+                continue
+            for i, first in enumerate(pairs):
+                if first not in template:
+                    continue
+                had: set[tuple[str, str]] = set()
+                both = 0
+                for j in range(i, len(pairs)):
+                    p = pairs[j]
+                    if p in had:
+                        continue
+                    had.add(p)
+                    if len(had) > hi + 1e-9:
+                        break
+                    if p in template:
+                        both += 1
+                        score = 2 * both / (len(had) + len(template))
+                        if score >= self.least and (found is None or score > found[0]):
+                            found = score, name, i
+                        if both == shared:
+                            break
+        if not found:
+            return None
+        at, line = found[2], 0
+        for line, of in enumerate(text.split("\n")):
+            at -= len(words_of(of))
+            if at < 0:
+                break
+        return found[0], found[1], line
+
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
-    """item, doc_id, license, dice, line of each row of docs(doc_id, text): the best match over the whole text (line -1)
-    and each of its lines (from 0); nulls if none reaches `least`.
+    """item, doc_id, license, dice, line of each row of docs(doc_id, text): the best match over the whole text (line -1),
+    each of its lines (from 0) and all windows of its words (the line where the window begins); nulls if none reaches
+    `least`.
 
-    Ties go to the whole text, then the earlier line, then the template first by name. Null and empty texts match
+    Ties go to the whole text, then the earlier line, then the template first by name, then the earlier window. Null and empty texts match
     nothing; repeated rows and null ids stay rows; an empty table gives no rows; other columns are ignored. Templates
     are a parameter of a few dozen entries and travel with the code.
     """
@@ -92,6 +145,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
                         hit = seen[line] = match.best(line)
                     if hit and (found is None or hit[0] > found[0]):
                         found = (*hit, k)
+                if found is None or found[0] < 1:
+                    hit = match.window(text)
+                    if hit and (found is None or hit[0] > found[0]):
+                        found = hit
                 out.append(found or (None, None, None))
             score, name, line = zip(*out, strict=True) if out else ((), (), ())
             yield pa.record_batch([*batch.columns[:2], pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(line, pa.int32())], schema=schema)
