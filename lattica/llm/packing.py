@@ -85,17 +85,31 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> tuple[list[
     return runs, opened
 
 
+def scores(left: np.ndarray, demand: np.ndarray, full_of: np.ndarray, weights: np.ndarray, rule: str) -> np.ndarray:
+    """The score of each sequence of residuals `left` for a piece of this demand; the smallest is chosen.
+
+    norm: the weighted squared norm of the residuals that the piece would leave, as shares of the capacities. dot: minus
+    the weighted dot product of the demand and the residuals, both as shares, by the residuals' length: the sequence whose
+    room is of the piece's own kind. By length, since the plain product only says which sequence is emptiest.
+    """
+    if rule == "norm":
+        return (weights * ((left - demand) / full_of) ** 2).sum(axis=1)
+    share = left / full_of
+    size = np.sqrt((weights * share**2).sum(axis=1))
+    return -np.divide((weights * share * (demand / full_of)).sum(axis=1), size, out=np.zeros(len(left)), where=size > 0)
+
+
 def vector_best_fit(histogram: dict[int, int], capacity: int, documents: int, attention: int, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.01, 0.01)) -> tuple[list[Run], int]:
     """Vector best-fit by decreasing length under three capacities: tokens, pieces, and attention cost (length squared).
 
-    Each step takes, among the open groups of sequences that can hold one more piece under every constraint, the one with
-    the smallest weighted norm of the residuals left ("norm"), or the smallest weighted dot product of the piece's
-    demand and the residuals ("dot"), each as shares of the capacities. Either falls as a sequence fills, so a sequence
-    takes as many pieces of a length as it can hold before the next one is tried, and groups can be filled at once.
+    Each piece goes to the sequence of the best of `scores` ("norm" or "dot") among those that can hold it under every
+    constraint, the first of equals, or opens one. Sequences of equal residuals that follow each other are a group: what
+    the rule says of its first one holds for all, so a group is filled at once, each sequence as long as it would be
+    chosen again.
     """
     if rule not in ("norm", "dot"):
         raise ValueError("rule is norm or dot")
-    full_of = np.array([capacity, documents, attention], dtype=float)
+    full_of = np.array([capacity, documents, attention], dtype=np.int64)
     w = np.asarray(weights, dtype=float)
     left_of = np.zeros((0, 3), dtype=np.int64)
     first_of, count_of = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -105,23 +119,33 @@ def vector_best_fit(histogram: dict[int, int], capacity: int, documents: int, at
         demand = np.array([length, 1, length * length], dtype=np.int64)
         if (demand > full_of).any():
             raise ValueError(f"a piece of {length} tokens exceeds a capacity")
-        alive = left_of[:, 0] >= max(1, min(histogram))
+        alive = (count_of > 0) & (left_of[:, 0] >= max(1, min(histogram))) & (left_of[:, 1] > 0)
         left_of, first_of, count_of = left_of[alive], first_of[alive], count_of[alive]
         rank, left = 0, histogram[length]
         while left:
             fits = np.flatnonzero((left_of >= demand).all(axis=1) & (count_of > 0))
             if len(fits):
-                share = (left_of[fits] - demand) / full_of
-                score = (w * share**2).sum(axis=1) if rule == "norm" else (w * share * (demand / full_of)).sum(axis=1)
-                g = fits[np.lexsort((first_of[fits], score))[0]]
+                score = scores(left_of[fits], demand, full_of, w, rule)
+                order = np.lexsort((first_of[fits], score))
+                g = fits[order[0]]
                 residual, first, n = left_of[g].copy(), int(first_of[g]), int(count_of[g])
                 count_of[g] = 0
+                # The next best: the group's own rest, else the best of the other groups.
+                rivals = [(score[order[0]], first + 1)] * (n > 1) + [(score[k], int(first_of[fits[k]])) for k in order[1:2]]
+                each, most = 1, int((residual // demand).min())
+                if rivals and most > 1:
+                    after = residual - demand * np.arange(1, most)[:, None]
+                    again = scores(after, demand, full_of, w, rule)
+                    while each < most and (again[each - 1], first) < min(rivals):
+                        each += 1
+                elif not rivals:
+                    each = most
             else:
-                residual = full_of.astype(np.int64)
-                first = opened
-                n = -(-left // int((residual // demand).min()))
+                residual, first = full_of.copy(), opened
+                each = int((residual // demand).min())
+                n = -(-left // each)
                 opened += n
-            each, at = int((residual // demand).min()), int(capacity - residual[0])
+            at = int(capacity - residual[0])
             new = []
             full = min(n, left // each)
             if full:
@@ -178,12 +202,15 @@ def vector_pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1
 def packed_matrices(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, rows: int = 64, pad: int = 0) -> DataFrame:
     """Best-fit-decreasing packing of docs(doc_id, text) into id matrices of `rows` sequences x `capacity` ids.
 
-    Returns a row per matrix: block, first_sequence, n_rows, ids (binary, n_rows x capacity unsigned little-endian 16-bit,
-    row-major, padded), row_starts (place in cu_seqlens of each row's first entry), cu_seqlens (by row: 0, then the
-    running end of each segment), position_ids (binary like ids: each segment counts from 0), doc_ids and starts (of
+    Returns a row per matrix: block, first_sequence, n_rows, id_bytes (2, or 4 if the tokenizer's vocabulary asks for it),
+    ids (binary, n_rows x capacity unsigned little-endian of id_bytes, row-major, padded), row_starts (place in cu_seqlens of each row's first entry), cu_seqlens (by row: 0, then the
+    running end of each segment), position_ids (binary, unsigned little-endian 32-bit if capacity exceeds 65,536, else
+    16-bit: each segment counts from 0), doc_ids and starts (of
     each segment, in order). Overlong documents are cut into pieces, nothing is lost: see `unpacked`. Null and empty
     texts hold the end id only; an empty table gives no rows; other columns are ignored.
     """
+    width = tokens.id_bytes(tokenizer or tokens.default_path())
+    kind, place = f"<u{width}", "<u2" if capacity <= 1 << 16 else "<u4"
     pieces = common.keep(tokens.token_pieces(docs, tokenizer, capacity, with_ids=True), "ids")
     where = placed(pieces.drop("ids"), lambda h: best_fit_decreasing(h, capacity), capacity).select("row", "piece", "sequence_id", "offset")
     joined = pieces.select("doc_id", "row", "piece", "start", "ids").join(where, ["row", "piece"])
@@ -193,7 +220,7 @@ def packed_matrices(docs: DataFrame, tokenizer: str | None = None, capacity: int
     def matrix(block: int, held: list[tuple]) -> dict:
         first = block * rows
         n = max(h[0] for h in held) - first + 1
-        ids, positions = np.full((n, capacity), pad, dtype="<u2"), np.zeros((n, capacity), dtype="<u2")
+        ids, positions = np.full((n, capacity), pad, dtype=kind), np.zeros((n, capacity), dtype=place)
         ends: list[int] = []
         starts: list[int] = []
         at, row = 0, -1
@@ -202,14 +229,14 @@ def packed_matrices(docs: DataFrame, tokenizer: str | None = None, capacity: int
                 row, at = sequence - first, 0
                 starts.append(len(ends))
                 ends.append(0)
-            own = np.frombuffer(part, "<u2")
+            own = np.frombuffer(part, kind)
             ids[row, at : at + len(own)] = own
             positions[row, at : at + len(own)] = np.arange(len(own))
             at += len(own)
             ends.append(at)
-        return {"block": block, "first_sequence": first, "n_rows": n, "ids": ids.tobytes(), "row_starts": starts, "cu_seqlens": ends, "position_ids": positions.tobytes(), "doc_ids": [h[1] for h in held], "starts": [h[2] for h in held]}
+        return {"block": block, "first_sequence": first, "n_rows": n, "id_bytes": width, "ids": ids.tobytes(), "row_starts": starts, "cu_seqlens": ends, "position_ids": positions.tobytes(), "doc_ids": [h[1] for h in held], "starts": [h[2] for h in held]}
 
-    schema = pa.schema([("block", pa.int64()), ("first_sequence", pa.int64()), ("n_rows", pa.int32()), ("ids", pa.binary()), ("row_starts", pa.list_(pa.int32())), ("cu_seqlens", pa.list_(pa.int32())), ("position_ids", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
+    schema = pa.schema([("block", pa.int64()), ("first_sequence", pa.int64()), ("n_rows", pa.int32()), ("id_bytes", pa.int32()), ("ids", pa.binary()), ("row_starts", pa.list_(pa.int32())), ("cu_seqlens", pa.list_(pa.int32())), ("position_ids", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
@@ -223,12 +250,12 @@ def packed_matrices(docs: DataFrame, tokenizer: str | None = None, capacity: int
         if held:
             yield pa.RecordBatch.from_pylist([matrix(block, held)], schema=schema)
 
-    return ready.mapInArrow(lambda batches: common.released(run(batches)), "block long, first_sequence long, n_rows int, ids binary, row_starts array<int>, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, starts array<long>")
+    return ready.mapInArrow(lambda batches: common.released(run(batches)), "block long, first_sequence long, n_rows int, id_bytes int, ids binary, row_starts array<int>, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, starts array<long>")
 
 
 def unpacked(matrix, capacity: int) -> list[tuple[int, int, list[int]]]:
     """(doc_id, start, ids) of each segment of a matrix row of `packed_matrices`."""
-    ids = np.frombuffer(matrix["ids"], "<u2").reshape(matrix["n_rows"], capacity)
+    ids = np.frombuffer(matrix["ids"], f"<u{matrix['id_bytes']}").reshape(matrix["n_rows"], capacity)
     bounds = [*matrix["row_starts"], len(matrix["cu_seqlens"])]
     spans = [(r, a, b) for r in range(matrix["n_rows"]) for cu in [matrix["cu_seqlens"][bounds[r] : bounds[r + 1]]] for a, b in zip(cu, cu[1:])]
     return [(d, s, ids[r, a:b].tolist()) for (r, a, b), d, s in zip(spans, matrix["doc_ids"], matrix["starts"], strict=True)]
