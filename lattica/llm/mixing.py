@@ -2,20 +2,26 @@
 
 Within a source, documents stand in a shuffled order, repeated whole up to `most` times. A document's virtual finish
 time is the source's words up to and with it, divided by the source's target: all sources run at the speed of their
-weight, and at time 1 each has served its target, together the budget. The globally range-sorted schedule is truncated
-there; the document in service at that time is cut to the words served.
+weight. The schedule of all sources is sorted by finish time, and the mix is what stands within the budget, the words of
+all documents: the sort decides which documents get in, the budget where the last one is cut.
+
+At time 1 each source has served its target and all together the budget, but for the document that each has in service
+then. Documents that finish by then stand whole in the schedule; the one in service is served in quanta of QUANTUM words,
+each with a finish time of its own, so that no long document takes the words of other sources, nor is left out whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from . import common
 
-#: Ordered documents of one range: what one task sorts.
-RANGE_ROWS = 2_000
+#: Rows of one range: what one task sorts.
+RANGE_ROWS = 100_000
+#: Words served at once of a document in service when its source's target is reached.
+QUANTUM = 64
 #: Seed of the shuffle within a source.
 SEED = 42
 
@@ -37,60 +43,79 @@ def targets(sizes: list[tuple], weights: tuple[float, ...], most: float) -> list
     return [(s, n, target[s]) for s, n in order]
 
 
-def words(text) -> F.Column:
+def words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(common.WORD)).cast("long")
 
 
-def shuffle_key(seed: int) -> F.Column:
+def shuffle_key(seed: int) -> Column:
     """A uniform number below 2^60 from id and text: 15 digits of MD5, which SQL engines share."""
-    name = F.concat_ws("\0", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
+    name = F.concat_ws("\0", F.lit(str(seed)), F.coalesce(F.col("row.doc_id").cast("long").cast("string"), F.lit("")), F.coalesce(F.col("row.text"), F.lit("")))
     return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
 
 
-def schedule(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def ranged(df: DataFrame, rows: int, order: list[Column]) -> DataFrame:
+    """df with `part`, the range of `order` a row is in: ranges stand in order, are about even, and are dealt by Spark's own
+    sampling of all the order columns, so rows equal in the first ones are told apart by the rest. Written."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS))
+    return common.keep(df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranged")
+
+
+def running(df: DataFrame, of: str, order: list[Column], key: str | None = None) -> DataFrame:
+    """ranged df with `before`: the sum of `of` over the rows before it in order (of the same `key`)."""
+    keys = [key] if key else []
+    sums = df.groupBy(*keys, "part").agg(F.sum(of).alias("words"))
+    # One row a part (and key in it): at most RANGE_ROWS times fewer than there are rows, or the number of keys.
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*(F.col(k).alias("__k") for k in keys), F.col("part").alias("__p"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("__start"))
+    inner = Window.partitionBy("part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    met = F.col("part") == F.col("__p")
+    met = met & F.col(key).eqNullSafe(F.col("__k")) if key else met
+    summed = df.withColumn("__inner", F.coalesce(F.sum(of).over(inner), F.lit(0))).join(common.small(starts), met)
+    return summed.withColumn("before", F.col("__inner") + F.col("__start")).drop("__inner", "__start", "__p", "__k")
+
+
+def schedule(docs: DataFrame | common.Numbered, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = SEED, quantum: int = QUANTUM) -> tuple[DataFrame, DataFrame]:
     """(items, schedule) of docs(doc_id, text, source).
 
     items: item, doc_id, size, source_size, target of each row (item numbers the rows: repeated or null ids stay apart).
-    schedule: item, epoch, finish, taken, offset: the mix in order of finish, where offset is the words before an entry.
-    Null text has size 0; null source is a source, last in order; documents without words are taken with 0 words; an
-    empty table gives empty frames. The number of sources is held on the driver: a few numbers for each.
+    schedule: item, epoch, begin, words, finish, offset, taken: what the sources serve until each reaches its target, in
+    order of finish; offset is the words before an entry, taken those of its words that the budget holds. Ties of finish
+    go by source, then place. A source leaves the queue with the entry that reaches its target. Null text has size 0; null source is a source, last in order; documents without words are not scheduled; an
+    empty table gives empty frames. Sources are held on the driver, a few numbers each.
     """
-    spark = docs.sparkSession
-    sized = docs.select(common.item(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), shuffle_key(seed).alias("key"))
+    spark = docs.rows.sparkSession if isinstance(docs, common.Numbered) else docs.sparkSession
+    sized = common.rows(docs).select("item", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").cast("string").alias("source"), words(F.col("row.text")).alias("size"), shuffle_key(seed).alias("key"))
     base = common.keep(sized, "mix")
-    per = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    per = base.groupBy("source").agg(F.sum("size").alias("size"), F.count_if(F.col("size") > 0).alias("n")).collect()
     shares = targets([(r["source"], r["size"]) for r in per], weights, most)
-    ranges = {r["source"]: max(1, -(-r["n"] // RANGE_ROWS)) for r in per}
-    sources = spark.createDataFrame([(s, n, t, ranges[s]) for s, n, t in shares], "source string, source_size long, target double, ranges long")
-    items = base.join(F.broadcast(sources), base["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    # A range holds an equal slice of the uniform keys, so ranges of a source are even and stand in key order.
-    part = F.floor(F.col("key") / F.lit(2.0**60) * F.col("ranges")).cast("long")
-    items = items.withColumn("part", F.least(F.greatest(part, F.lit(0)), F.col("ranges") - 1))
-    sums = items.groupBy("source", "part").agg(F.sum("size").alias("words"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select(F.col("source").alias("__s"), F.col("part").alias("__p"), before.alias("start"))
-    local = F.coalesce(F.sum("size").over(Window.partitionBy("source", "part").orderBy("key", "item").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    queued = items.withColumn("own", local).join(common.small(starts), F.col("source").eqNullSafe(F.col("__s")) & (F.col("part") == F.col("__p"))).withColumn("own", F.col("own") + F.col("start")).drop("__s", "__p", "start")
-    epochs = queued.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-    start = F.col("epoch") * F.col("source_size") + F.col("own")
-    served = epochs.withColumn("begin", start).where((F.col("begin") < F.col("target")) | (F.col("epoch") == 0) & (F.col("size") == 0))
-    whole = F.greatest(F.round("target").cast("long") - F.col("begin"), F.lit(0))
-    entries = served.select("item", "epoch", F.least("size", whole).alias("taken"), F.when(F.col("target") > 0, (F.col("begin") + F.col("size")) / F.col("target")).otherwise(F.lit(0.0)).alias("finish"))
-    # Equal slices of virtual time serve equal words, whatever the sources: ranges of finish are even.
-    slices = max(1, sum(ranges.values()))
-    ranged = entries.withColumn("slice", F.least(F.floor(F.col("finish") * slices), F.lit(slices)).cast("long"))
-    spent = ranged.groupBy("slice").agg(F.sum("taken").alias("words"))
-    earlier = F.coalesce(F.sum("words").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ahead = spent.select("slice", earlier.alias("ahead"))
-    inner = F.coalesce(F.sum("taken").over(Window.partitionBy("slice").orderBy("finish", "item", "epoch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sources = spark.createDataFrame([(k, *s) for k, s in enumerate(shares)], "place long, source string, source_size long, target double")
+    met = base["source"].eqNullSafe(sources["source"])
+    items = base.join(common.small(sources), met).drop("source")
+    rows = sum(r["n"] for r in per)
+    order = [F.col("place"), F.col("key"), F.xxhash64("item")]
+    queued = ranged(items.where("size > 0").select("item", "place", "key", "size", "source_size", "target"), rows, order)
+    queued = running(queued, "size", order, "place").drop("part")
+    epochs = queued.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("begin", F.col("epoch") * F.col("source_size") + F.col("before")).where("begin < target")
+    quanta = F.when(F.col("begin") + F.col("size") <= F.col("target"), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(quantum).cast("long")))
+    entries = epochs.withColumn("__from", F.explode(quanta))
+    served = F.when(F.col("begin") + F.col("size") <= F.col("target"), F.col("size")).otherwise(F.least(F.lit(quantum), F.col("size") - F.col("__from")))
+    entries = entries.withColumn("words", served).withColumn("begin", F.col("begin") + F.col("__from")).where("begin < target")
+    entries = entries.select("item", "epoch", "begin", "words", ((F.col("begin") + F.col("words")) / F.col("target")).alias("finish"), "place")
+    order = [F.col("finish"), F.col("place"), F.col("begin")]
+    sorted_ = running(ranged(entries, rows * most, order), "words", order).withColumnRenamed("before", "offset")
     budget = sum(n for _, n, _ in shares)
-    mixed = ranged.withColumn("inner", inner).join(common.small(ahead), "slice").withColumn("offset", F.col("inner") + F.col("ahead"))
-    cut = mixed.withColumn("taken", F.least("taken", F.greatest(F.lit(budget + len(shares)) - F.col("offset"), F.lit(0))))
-    return items.select("item", "doc_id", "size", "source_size", "target"), cut.select("item", "epoch", "finish", "taken", "offset")
+    taken = F.least("words", F.greatest(F.lit(budget) - F.col("offset"), F.lit(0)))
+    return items.select("item", "doc_id", "size", "source_size", "target"), sorted_.select("item", "epoch", "begin", "words", "finish", "offset", taken.alias("taken"))
+
 
+def mix(docs: DataFrame | common.Numbered, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = SEED, quantum: int = QUANTUM) -> DataFrame:
+    """A row per row of docs(doc_id, text, source): item, doc_id, size, source_size, target and the words taken, repeats
+    counted, by the `schedule`.
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = SEED) -> DataFrame:
-    """A row per row of docs: item, doc_id, size, source_size, target and the words taken, repeats counted."""
-    items, entries = schedule(docs, weights, most, seed)
+    Each source's words differ from its target by less than `quantum` (and by what the budget cuts of the last entry), and
+    no document is taken more than `most` times. Null text has size 0 and nothing is taken of it; null and repeated ids
+    stay rows; an empty table gives no rows; other columns are ignored, whatever their names.
+    """
+    items, entries = schedule(docs, weights, most, seed, quantum)
     taken = entries.groupBy("item").agg(F.sum("taken").alias("taken"))
     return items.join(taken, "item", "left").withColumn("taken", common.whole_number(F.col("taken")))
