@@ -14,14 +14,11 @@ from . import common
 
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\r\x0b\x0c"
-#: A line counts as boilerplate of a host above both: so many distinct documents, and this share of the host's.
-LINE_DOCUMENTS = 20
-LINE_SHARE = 0.2
-#: So many distinct documents of a host suffice without the share, where asked for: the share then binds in hosts of up
-#: to 250 documents only. op8 does not ask for it, as its SQL has no such count.
-LINE_ENOUGH = 50
-#: A document is depleted if less than this share of its words is outside boilerplate lines.
+#: A line in more distinct documents of a host than this is boilerplate and is removed.
+LINE_DOCUMENTS = 8
+#: A document is depleted if less than this share of its words is left, or fewer words than any document needs.
 KEPT_SHARE = 0.3
+LEAST_WORDS = 50
 
 
 def base(text: str) -> tuple[int, int, int, int, int]:
@@ -64,7 +61,7 @@ def less(text: str, gone: set[int]) -> str:
     return "\n".join(line for line in text.split("\n") if line_key(line)[0] not in gone)
 
 
-def profiles(docs: DataFrame) -> DataFrame:
+def profiles(docs: DataFrame | common.Numbered) -> DataFrame:
     """item, doc_id, host, body (hash of the text), the base figures, and arrays lines, line_words of each row."""
     names = ["item", "doc_id", "host", "body", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), *[pa.int64()] * 5, pa.list_(pa.int64()), pa.list_(pa.int32())]
@@ -82,64 +79,62 @@ def profiles(docs: DataFrame) -> DataFrame:
                 columns = list(zip(*rows, strict=True))
                 yield pa.record_batch([*part.columns[:4], *(pa.array(c, t) for c, t in zip(columns, kinds[4:], strict=True))], schema=schema)
 
-    given = docs.select(common.item(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.xxhash64("text").alias("body"), F.col("text").cast("string").alias("text"))
+    text = F.col("row.text").cast("string")
+    given = common.rows(docs).select("item", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").cast("string").alias("host"), F.xxhash64(text).alias("body"), text.alias("text"))
     return given.mapInArrow(lambda batches: common.released(run(batches)), "item long, doc_id long, host string, body long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>")
 
 
-def judge(docs: DataFrame, line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE, kept_share: float = KEPT_SHARE, line_enough: int | None = None) -> DataFrame:
+def judge(docs: DataFrame | common.Numbered, line_documents: int = LINE_DOCUMENTS, kept_share: float = KEPT_SHARE, least_words: int = LEAST_WORDS) -> DataFrame:
     """Judge docs(doc_id, text, source); the source stands for the host. Returns item, doc_id, base figures, base_failed,
     removed_words and kept, for each row.
 
     A document, for counting, is a distinct text of a host, so exact copies of a good text do not make its lines
-    boilerplate. A line found in more than line_documents distinct documents and more than line_share of its host's (or,
-    if line_enough is given, more than so many) is removed; a document left with less than kept_share of its words is depleted and rejected, and so is one whose base
-    figures fail (under 50 words, or over half its words in repeated 3-word windows). Null text is empty text; a null
-    source is a host; repeated rows are judged each; an empty table gives no rows; other columns are ignored.
+    boilerplate. A line (lower case, single spaces) found in more than line_documents distinct documents of its host is
+    removed. A document left with less than kept_share of its words, or with fewer than least_words, is depleted and
+    rejected, and so is one whose base figures fail (fewer than 50 words, or over half its words in repeated 3-word
+    windows). Null text is empty text; a null source is a host; repeated rows are judged each; an empty table gives no
+    rows; other columns are ignored, whatever their names.
     """
-    return judged(docs, line_documents, line_share, kept_share, line_enough)[0]
+    return judged(docs, line_documents, kept_share, least_words)[0]
 
 
-def judged(docs: DataFrame, line_documents: int, line_share: float, kept_share: float, line_enough: int | None) -> tuple[DataFrame, DataFrame]:
+def judged(docs: DataFrame | common.Numbered, line_documents: int, kept_share: float, least_words: int) -> tuple[DataFrame, DataFrame]:
     """What judge returns, and item, line (hash) of each removed line of each row."""
     seen = common.keep(profiles(docs), "lines")
     host = F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("host")
     first = seen.groupBy(host, "body").agg(F.min("item").alias("item"))
-    sizes = first.groupBy("host").agg(F.count("*").alias("documents"))
     listed = seen.select("item", host, F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("item", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     counted = listed.join(first.select("item"), "item", "left_semi").groupBy("host", "line").agg(F.count("*").alias("n"))
-    often = counted.where(F.col("n") > line_documents)
-    wide = F.col("n") > line_share * F.col("documents")
-    wide = wide if line_enough is None else wide | (F.col("n") > line_enough)
-    often = common.keep(often.join(common.small(sizes), "host").where(wide).select("host", "line"), "often")
-    gone = listed.join(common.small(often), ["host", "line"])
+    often = common.keep(counted.where(F.col("n") > line_documents).select("host", "line"), "often")
+    # A common line of a large host has many rows: broadcast, or salted.
+    gone = common.salted(listed, often, ["host", "line"], "item")
     removed = gone.groupBy("item").agg(F.sum("words").alias("removed"))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = seen.drop("lines", "line_words", "body", "host").join(removed, "item", "left").withColumn("removed_words", common.whole_number(F.col("removed"))).drop("removed")
-    out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= kept_share * F.col("n_words")))
+    left = F.col("n_words") - F.col("removed_words")
+    out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (left >= kept_share * F.col("n_words")) & (left >= least_words))
     return out, gone.select("item", "line")
 
 
-def cleaned(docs: DataFrame, line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE, kept_share: float = KEPT_SHARE, line_enough: int | None = LINE_ENOUGH) -> DataFrame:
-    """The kept rows of numbered docs, with docs' own columns: text without the removed lines, and n_chars, if docs has
-    it, of the text that is left. Other rows' texts are not touched."""
-    verdict, gone = judged(docs, line_documents, line_share, kept_share, line_enough)
+def cleaned(docs: common.Numbered, line_documents: int = LINE_DOCUMENTS, kept_share: float = KEPT_SHARE, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The kept rows of docs, with docs' own columns: text without the removed lines, and n_chars, if docs has it, of the
+    text that is left. Other rows' texts are not touched."""
+    verdict, gone = judged(docs, line_documents, kept_share, least_words)
     verdict = common.keep(verdict.where(~F.col("kept") | (F.col("removed_words") > 0)).select("item", "kept"), "verdict")
     rows = common.without(docs, verdict)
     cut = verdict.where("kept").select("item")
-    gone = gone.join(common.small(cut), "item", "left_semi").groupBy(F.col("item").alias(common.ITEM)).agg(F.collect_set("line").alias("__gone"))
-    gone = common.keep(gone, "gone")
-    given = docs.join(common.small(gone), common.ITEM).drop(common.ITEM)
-    names = rows.columns
-    at = names.index("text")
+    gone = gone.join(common.small(cut), "item", "left_semi").groupBy("item").agg(F.collect_set("line").alias("gone"))
+    given = docs.rows.join(common.small(common.keep(gone, "gone")), "item").select("row", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [less(t.as_py() or "", set(g.as_py())) for t, g in zip(batch.column(at), batch.column(len(names)), strict=True)]
-            columns = list(batch.columns[: len(names)])
+            names, columns = [f.name for f in batch.column(0).type], batch.column(0).flatten()
+            at = names.index("text")
+            texts = [less(t.as_py() or "", set(g.as_py())) for t, g in zip(columns[at], batch.column(1), strict=True)]
             columns[at] = pa.array(texts, columns[at].type)
             if "n_chars" in names:
                 k = names.index("n_chars")
                 columns[k] = pa.array([len(t) for t in texts], pa.int64()).cast(columns[k].type)
             yield pa.record_batch(columns, names=names)
 
-    return rows.union(given.select(*names, "__gone").mapInArrow(lambda batches: common.released(run(batches)), rows.schema))
+    return rows.union(given.mapInArrow(lambda batches: common.released(run(batches)), rows.schema))

@@ -1,4 +1,4 @@
-"""Removed lines are gone from the text that a stage writes; an absolute count suffices in large hosts."""
+"""Removed lines are gone from the text that a stage writes; the number of distinct documents of a host decides."""
 
 from lattica.llm import common, lines
 
@@ -12,10 +12,11 @@ def corpus(spark):
     return spark.createDataFrame([(d, t, s, len(t or "")) for d, t, s in rows], SCHEMA), body
 
 
-def test_absolute_count_suffices(spark):
+def test_lines_above_the_limit_are_removed(spark):
     docs, _ = corpus(spark)
     removed = lambda **k: sum(r["removed_words"] for r in lines.judge(docs, **k).collect())
-    assert removed() == 0 and removed(line_enough=50) == 60 * 4 + 80 and removed(line_enough=61) == 0
+    # 61 distinct documents of the host have the line.
+    assert removed() == removed(line_documents=60) == 60 * 4 + 80 and removed(line_documents=61) == 0
 
 
 def test_text_is_less_the_removed_lines(spark):
