@@ -1,7 +1,8 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The words here are of open vocabulary, so the model's symbols are characters: order 5, over single code points. A gram is
-one long of 12 bits a symbol (code points from 0xFFF on are folded into the upper half of that range).
+Words are of open vocabulary and scripts have tens of thousands of characters, so the model's symbols are the bytes of
+UTF-8: order 6, no symbol is unknown and none stands for two. A gram is one long of 9 bits a symbol. Log probabilities are
+held as whole numbers of 2^-20, so a text's total is the same sum in any order and on either way of looking grams up.
 """
 
 from __future__ import annotations
@@ -16,23 +17,21 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ORDER = 5
-BITS = 12
-#: Grams scored by a broadcast table up to here (12 bytes each); beyond, documents' grams are joined by shuffle.
+ORDER = 6
+#: Bits of a symbol: 0 stands before a text's beginning, bytes are one more.
+BITS = 9
+#: A log probability of 1 is so many units.
+UNITS = 1 << 20
+#: Grams looked up in a broadcast table up to here (12 bytes each); beyond, documents' grams are joined to it by shuffle,
+#: with the same totals.
 TABLE_ROWS = 6_000_000
-#: Characters worked on at once.
+#: Bytes worked on at once.
 CHUNK = 500_000
 #: Distinct grams a task holds before it sends them on.
 HELD = 1_500_000
 
 
-def symbols(text: str) -> np.ndarray:
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-    c[c == 0] = 1
-    return np.where(c >= 0xFFF, 0x800 + c % 0x7FF, c)
-
-
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All grams of the texts, each padded with ORDER - 1 starts, and the number of grams of each text."""
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     pad = ORDER - 1
@@ -43,7 +42,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     begins = ends - sizes - pad
     for k in range(pad):
         own[begins + k] = False
-    out[own] = symbols("".join(texts))
+    out[own] = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int64) + 1
     g = np.zeros(total, dtype=np.int64)
     for k in range(pad, -1, -1):
         g <<= BITS
@@ -51,8 +50,12 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return g[own], sizes
 
 
-def chunks(texts: list[str]) -> Iterator[list[str]]:
-    """Texts in lists of about CHUNK characters; a longer text stands alone."""
+def utf8(text: pa.StringScalar) -> bytes:
+    return (text.as_py() or "").encode("utf-8", "surrogatepass")
+
+
+def chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts in lists of about CHUNK bytes; a longer text stands alone."""
     held, n = [], 0
     for t in texts:
         if held and n + len(t) > CHUNK:
@@ -82,7 +85,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
         for batch in batches:
             flags = np.array([bool(x) for x in batch.column(0).to_pylist()], dtype=bool)
             for trusted in (False, True):
-                for texts in chunks([t.as_py() or "" for t in batch.column(1).filter(pa.array(flags == trusted))]):
+                for texts in chunks([utf8(t) for t in batch.column(1).filter(pa.array(flags == trusted))]):
                     keys, counts = np.unique(grams(texts)[0], return_counts=True)
                     parts.append((keys, counts * trusted))
                     held += len(keys)
@@ -110,7 +113,7 @@ def low(gram: Column, n: int) -> Column:
 
 
 def log_table(counted: DataFrame) -> DataFrame:
-    """gram, lp: the natural log probability of each counted gram's last symbol after the others.
+    """gram, lp: the natural log probability of each counted gram's last symbol after the others, in UNITS.
 
     The counts of each order (at the lower ones: of distinct left neighbours), their contexts' totals and the corpus'
     grams meet in joins sharded by gram or context. p = max(c - D, 0) / total + gamma(context) * p of the next lower
@@ -137,7 +140,7 @@ def log_table(counted: DataFrame) -> DataFrame:
         own = F.coalesce(F.greatest(c - cut, F.lit(0.0)) / F.col("total"), F.lit(0.0))
         # Written at each order: one plan of all ten joins is planned again on the driver after each of its many stages.
         scored = common.keep(scored.select("gram", (own + F.coalesce("gamma", F.lit(1.0)) * F.col("p")).alias("p")), f"upto{n}")
-    return scored.select("gram", F.log("p").cast("float").alias("lp"))
+    return scored.select("gram", F.round(F.log("p") * UNITS).cast("int").alias("lp"))
 
 
 class Lookup:
@@ -146,7 +149,7 @@ class Lookup:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(4, int(2 * len(keys)).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.keys, self.values = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.float32)
+        self.keys, self.values = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int32)
         slot = self.slots(keys)
         self.keys[slot], self.values[slot] = keys, values
         late = np.flatnonzero(self.keys[slot] != keys)
@@ -166,7 +169,7 @@ class Lookup:
 
 
 def scores(docs: DataFrame, table: DataFrame, table_rows: int = TABLE_ROWS) -> DataFrame:
-    """item, doc_id, lang, total (log probability), n (symbols) of docs(item, doc_id, lang, text), given log_table's rows for all their grams."""
+    """item, doc_id, lang, total (log probability in UNITS), n (symbols) of docs(item, doc_id, lang, text), given log_table's rows for all their grams."""
     spark = docs.sparkSession
     if table.limit(table_rows + 1).count() <= table_rows:
         got = table.toArrow()
@@ -174,37 +177,37 @@ def scores(docs: DataFrame, table: DataFrame, table_rows: int = TABLE_ROWS) -> D
         del got
         common.give_back()
         held: list[Lookup] = []
-        schema = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("total", pa.float64()), ("n", pa.int64())])
+        schema = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("total", pa.int64()), ("n", pa.int64())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not held:
                 held.append(Lookup(*shared.value))
             for batch in batches:
-                totals, sizes = [np.zeros(0)], [np.zeros(0, dtype=np.int64)]
-                for texts in chunks([t.as_py() or "" for t in batch.column(3)]):
+                totals, sizes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+                for texts in chunks([utf8(t) for t in batch.column(3)]):
                     keys, n = grams(texts)
-                    lp = np.concatenate([[0.0], np.cumsum(held[0](keys).astype(np.float64))])
+                    lp = np.concatenate([[0], np.cumsum(held[0](keys), dtype=np.int64)])
                     ends = np.cumsum(n)
                     totals.append(lp[ends] - lp[ends - n])
                     sizes.append(n)
                 yield pa.record_batch([*batch.columns[:3], pa.array(np.concatenate(totals)), pa.array(np.concatenate(sizes))], schema=schema)
 
-        return docs.select("item", "doc_id", "lang", "text").mapInArrow(lambda batches: common.released(run(batches)), "item long, doc_id long, lang string, total double, n long")
+        return docs.select("item", "doc_id", "lang", "text").mapInArrow(lambda batches: common.released(run(batches)), "item long, doc_id long, lang string, total long, n long")
 
     schema = pa.schema([("item", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys, n = np.unique(grams([text.as_py() or ""])[0], return_counts=True)
+                keys, n = np.unique(grams([utf8(text)])[0], return_counts=True)
                 yield pa.record_batch([pa.array(np.full(len(keys), item)), pa.array(keys), pa.array(n)], schema=schema)
 
     own = docs.select("item", "text").mapInArrow(lambda batches: common.released(spread(batches)), "item long, gram long, n long")
     summed = own.join(table, "gram").groupBy("item").agg(F.sum(F.col("n") * F.col("lp")).alias("total"), F.sum("n").alias("n"))
-    return docs.select("item", "doc_id", "lang").join(summed, "item", "left").select("item", "doc_id", "lang", F.coalesce("total", F.lit(0.0)).alias("total"), common.whole_number(F.col("n")).alias("n"))
+    return docs.select("item", "doc_id", "lang").join(summed, "item", "left").select("item", "doc_id", "lang", common.whole_number(F.col("total")).alias("total"), common.whole_number(F.col("n")).alias("n"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.25, held_out: int = 10, least: int = 20, table_rows: int = TABLE_ROWS) -> DataFrame:
+def classify(docs: DataFrame | common.Numbered, labels: DataFrame, quantile: float = 0.99, margin: float = 1.25, held_out: int = 10, least: int = 20, table_rows: int = TABLE_ROWS) -> DataFrame:
     """item, doc_id, lang, symbols, perplexity, threshold, kept of each row of docs(doc_id, text, lang).
 
     Trusted text is that of documents with quality 1 and toxic 0 in labels(doc_id, quality, toxic); one in `held_out` of
@@ -214,13 +217,13 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin:
     ids stay rows; an empty table gives no rows; other columns are ignored.
     """
     trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("trusted", F.lit(True))
-    given = docs.select(common.item(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    given = common.rows(docs).select("item", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.lang").cast("string").alias("lang"), F.col("row.text").cast("string").alias("text"))
     marked = given.join(common.small(trusted), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     out_of = F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) == 0
     counted = common.keep(count_grams(marked.select((F.col("trusted") & ~out_of).alias("trusted"), "text")), "grams")
     table = common.keep(log_table(counted), "log")
     seen = common.keep(scores(given, table, table_rows), "scores")
-    seen = seen.withColumn("perplexity", F.when(F.col("n") > 0, F.exp(-F.col("total") / F.col("n"))))
+    seen = seen.withColumn("perplexity", F.when(F.col("n") > 0, F.exp(-F.col("total") / F.col("n") / UNITS)))
     calibration = seen.join(common.small(trusted), "doc_id").where(out_of & F.col("perplexity").isNotNull())
     level = F.percentile_approx("perplexity", quantile, 10_000)
     per = calibration.groupBy("lang").agg(F.count("*").alias("__n"), level.alias("__q")).where((F.col("__n") >= least) & F.col("lang").isNotNull()).select("lang", (F.col("__q") * margin).alias("__own"))
