@@ -3,23 +3,30 @@
 Queries and candidates are dealt to blocks; every pair of a query block and a candidate block is a tile. In a tile both
 sides are int8 codes with a scale per vector; one integer matrix product gives all approximate distances, and the two
 quantisation errors (norms of what the codes miss) bound how far each is off. What no bound excludes is recomputed in
-double precision, and heaps keep the best k: first in a tile, then over a query's tiles.
+double precision, and heaps keep the best k: first in a tile, then over a query's tiles. So a tile sends k rows a query
+on, however many vectors are equal or nearly so. Blocks are large, as each vector travels once for every block of the
+other side, in the table's own precision.
 """
 
 from __future__ import annotations
 
 import heapq
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-QUERY_BLOCK = 2_048
-CANDIDATE_BLOCK = 4_096
-_columns = "query_id long, score double, vec_id long"
+QUERY_BLOCK = 4_096
+CANDIDATE_BLOCK = 16_384
+#: Queries whose distances to a candidate block are held at once.
+AT_ONCE = 128
+_kinds = {"query": "int64", "query_id": "int64", "score": "float64", "vec_id": "int64", "item": "int64"}
 
 
 def usable(e: Column) -> Column:
@@ -52,57 +59,83 @@ def euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def tile(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
-    ids, others = queries["query_id"].to_numpy(), candidates["vec_id"].to_numpy()
+    """query, query_id, score, vec_id, item of the k nearest candidates(item, vec_id, v) to each of queries(query,
+    query_id, v); a candidate whose item is the query's is left out."""
+    own, ids = queries["query"].to_numpy(), queries["query_id"].to_numpy()
+    items, others = candidates["item"].to_numpy(), candidates["vec_id"].to_numpy()
     x, y = (np.stack(list(f["v"])).astype(np.float64) for f in (queries, candidates))
     (qx, sx, ex), (qy, sy, ey) = codes(x), codes(y)
     size_x, size_y = ((q.astype(np.float64) ** 2).sum(axis=1) * s * s for q, s in ((qx, sx), (qy, sy)))
     slack = 1e-6 * (np.sqrt(size_x).max() + np.sqrt(size_y).max())
-    out: list[tuple[int, float, int]] = []
-    for at in range(0, len(ids), 256):
-        rows = slice(at, at + 256)
+    out: list[tuple[int, int, float, int, int]] = []
+    for at in range(0, len(ids), AT_ONCE):
+        rows = slice(at, at + AT_ONCE)
         near = size_x[rows, None] + size_y[None] - 2 * product(qx[rows], qy) * sx[rows, None] * sy[None]
         near = np.sqrt(np.maximum(near, 0))
         off = ex[rows, None] + ey[None] + slack
-        near[ids[rows, None] == others[None]] = np.inf
+        near[own[rows, None] == items[None]] = np.inf
         high = near + off
         limit = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] > k else np.full(len(high), np.finfo(float).max)
         q, c = np.nonzero(near - off <= limit[:, None])
         scores = np.concatenate([euclidean(x[at + q[i : i + 200_000]], y[c[i : i + 200_000]]) for i in range(0, max(len(q), 1), 200_000)])
         ends = np.searchsorted(q, np.arange(len(near) + 1))
         for i in range(len(near)):
-            best = heapq.nsmallest(k, zip(scores[ends[i] : ends[i + 1]].tolist(), others[c[ends[i] : ends[i + 1]]].tolist()))
-            out += [(int(ids[at + i]), s, v) for s, v in best]
-    return pd.DataFrame(out, columns=["query_id", "score", "vec_id"]).astype({"query_id": "int64", "score": "float64", "vec_id": "int64"})
+            mine = c[ends[i] : ends[i + 1]]
+            best = heapq.nsmallest(k, zip(scores[ends[i] : ends[i + 1]].tolist(), others[mine].tolist(), items[mine].tolist()))
+            out += [(int(own[at + i]), int(ids[at + i]), *b) for b in best]
+    return pd.DataFrame(out, columns=list(_kinds)).astype(_kinds)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of vectors(vec_id, embedding) by Euclidean distance to each query row.
 
-    Rows with the query's own id are not its candidates. Vectors that are null, empty, zero, or hold a null or non-finite
-    component take no part, nor do null ids; vectors of another length than the query's are not compared. Of repeated
-    query rows the least vector counts; repeated candidates count each. Ties go to the smaller vec_id. Other columns are
-    ignored; an empty table gives no rows.
+    is_query is a condition on vec_id. All rows but the query's own are candidates, others of its id included; repeated
+    query rows have a list each. Vectors that are null, empty, zero, or hold a null or non-finite component take no part,
+    nor do null ids; vectors of another length than the query's are not compared. Ties go to the smaller vec_id. Other
+    columns are ignored, whatever their names; an empty table gives no rows.
     """
-    given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    given = given.where(F.col("vec_id").isNotNull() & usable(F.col("v"))).withColumn("dim", F.size("v"))
-    queries = given.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    floats = dict(vectors.dtypes)["embedding"] == "array<float>"
+    v = F.col("row.embedding") if floats else F.col("row.embedding").cast("array<double>")
+    given = common.rows(vectors).select("item", F.col("row.vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    given = common.keep(given.where(F.col("vec_id").isNotNull() & usable(F.col("v"))), "vectors").withColumn("dim", F.size("v"))
+    queries = given.where(is_query).withColumnsRenamed({"item": "query", "vec_id": "query_id"})
     n, m = given.count(), queries.count()
     wide, tall = max(1, -(-m // QUERY_BLOCK)), max(1, -(-n // CANDIDATE_BLOCK))
     each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(wide))).withColumn("cb", each(tall))
-    right = given.withColumn("cb", F.pmod(F.xxhash64("vec_id", "v"), F.lit(tall))).withColumn("qb", each(wide))
+    # Dealt by row number: equal vectors and ids spread evenly.
+    left = queries.withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(wide))).withColumn("cb", each(tall))
+    right = given.withColumn("cb", F.pmod(F.xxhash64("item"), F.lit(tall))).withColumn("qb", each(wide))
     keys = [F.col("dim"), F.col("qb").cast("long").alias("qb"), F.col("cb").cast("long").alias("cb")]
-    left, right = left.select("query_id", "v", *keys), right.select("vec_id", "v", *keys)
+    left, right = left.select("query", "query_id", "v", *keys), right.select("item", "vec_id", "v", *keys)
 
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "vec_id": pd.Series(dtype="int64")})
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in _kinds.items()})
         return tile(a, b, k)
 
-    parts = left.groupBy("dim", "qb", "cb").cogroup(right.groupBy("dim", "qb", "cb")).applyInPandas(work, _columns)
-
-    def merge(one: pd.DataFrame) -> pd.DataFrame:
-        best = heapq.nsmallest(k, zip(one["score"].tolist(), one["vec_id"].tolist()))
-        return pd.DataFrame({"query_id": one["query_id"].iloc[0], "rank": np.arange(1, len(best) + 1, dtype=np.int32), "vec_id": [v for _, v in best], "score": [s for s, _ in best]})
-
-    return parts.groupBy("query_id").applyInPandas(merge, "query_id long, rank int, vec_id long, score double")
+    parts = left.groupBy("dim", "qb", "cb").cogroup(right.groupBy("dim", "qb", "cb")).applyInPandas(work, "query long, query_id long, score double, vec_id long, item long")
+    schema = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come query by query: one heap of k at a time, its greatest on top."""
+        query, id_, heap = None, None, []
+
+        def done() -> pa.RecordBatch:
+            best = sorted((-s, -v, -i) for s, v, i in heap)
+            return pa.record_batch([[id_] * len(best), range(1, len(best) + 1), [v for _, v, _ in best], [s for s, _, _ in best]], schema=schema)
+
+        for batch in batches:
+            for q, own, s, v, i in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if q != query:
+                    if heap:
+                        yield done()
+                    query, id_, heap = q, own, []
+                if len(heap) < k:
+                    heapq.heappush(heap, (-s, -v, -i))
+                elif (-s, -v, -i) > heap[0]:
+                    heapq.heapreplace(heap, (-s, -v, -i))
+        if heap:
+            yield done()
+
+    together = parts.repartition("query").sortWithinPartitions("query")
+    return together.mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
