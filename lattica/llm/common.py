@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -68,31 +69,50 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-ITEM = "__item"
+@dataclass(frozen=True)
+class Numbered:
+    """A table whose rows have numbers that stay the same when it is read again: item, and the row as a struct, so that no
+    column of the table can be taken for the number."""
 
+    rows: DataFrame
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with ITEM, a number of each row that stays the same when docs is read again.
 
-    Rows of files are numbered by a 64-bit hash of the file and the place in it; other frames are written once, with
-    running numbers, and the written rows are returned.
-    """
-    try:
-        place = docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(ITEM))
-        place.schema  # noqa: B018 - analysis fails here if the frame does not come from files
-        return place
-    except AnalysisException:
-        return keep(docs.select("*", F.monotonically_increasing_id().alias(ITEM)), "numbered")
+def whole(docs: DataFrame) -> Column:
+    """All columns of a row as the struct `row`."""
+    return F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
+
+
+def numbered(docs: DataFrame) -> Numbered:
+    """Rows of files are numbered by a 64-bit hash of the file and the place in it; other frames are written once, with
+    running numbers, and the written rows are used."""
+    if "_metadata" not in docs.columns:
+        try:
+            place = docs.select(F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("item"), whole(docs))
+            place.schema  # noqa: B018 - analysis fails here if the frame does not come from files
+            return Numbered(place)
+        except AnalysisException:
+            pass
+    return Numbered(keep(docs.select(F.monotonically_increasing_id().alias("item"), whole(docs)), "numbered"))
+
+
+def rows(docs: DataFrame | Numbered) -> DataFrame:
+    """item, row of docs: its own numbers if it has any, else running ones (good within one written step)."""
+    return docs.rows if isinstance(docs, Numbered) else docs.select(F.monotonically_increasing_id().alias("item"), whole(docs))
 
 
-def item(docs: DataFrame) -> Column:
-    """The row number: ITEM if docs has it, else a running one (good within one written step)."""
-    return (F.col(ITEM).cast("long") if ITEM in docs.columns else F.monotonically_increasing_id()).alias("item")
+def without(docs: Numbered, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose number is not in gone(item), with docs' own columns."""
+    return docs.rows.join(small(gone.select("item")), "item", "left_anti").select("row.*")
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of numbered docs whose number is not in gone(item), with docs' own columns."""
-    return docs.join(small(gone.select(F.col("item").alias(ITEM))), ITEM, "left_anti").drop(ITEM)
+def salted(big: DataFrame, other: DataFrame, key: str | list[str], by: str, salts: int = 16) -> DataFrame:
+    """big joined to other on `key`, which is unique in other: broadcast if a count allows, else each row of other goes
+    to `salts` places and big's rows of a key are dealt to these by their column `by`: no key is one task's."""
+    if other.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(other), key)
+    dealt = big.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    spread = other.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(spread, [*([key] if isinstance(key, str) else key), "__salt"]).drop("__salt")
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -153,5 +153,5 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
             score, name, line = zip(*out, strict=True) if out else ((), (), ())
             yield pa.record_batch([*batch.columns[:2], pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(line, pa.int32())], schema=schema)
 
-    rows = docs.select(common.item(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = common.rows(docs).select("item", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
     return rows.mapInArrow(lambda batches: common.released(run(batches)), "item long, doc_id long, license string, dice double, line int")

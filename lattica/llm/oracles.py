@@ -30,13 +30,10 @@ with d as (
   where len(ws) > 0 group by 1, 2
 ), firsts as (
   select source, body, min(item) as item from d group by source, body
-), hosts as (
-  select source, count(*) as documents from firsts group by source
 ), counted as (
   select f.source, line, count(*) as n from listed join firsts f using (item) group by f.source, line
 ), frequent as (
-  select c.source, line from counted c join hosts h on c.source is not distinct from h.source
-  where n > {lines.LINE_DOCUMENTS} and n > {lines.LINE_SHARE}::double * documents
+  select source, line from counted where n > {lines.LINE_DOCUMENTS}
 ), removed as (
   select item, sum(words)::bigint as words from listed join d using (item)
   join frequent f on d.source is not distinct from f.source and listed.line = f.line group by item
@@ -47,20 +44,21 @@ with d as (
   from d join w using (item) join l using (item) left join covered c using (item) left join removed r using (item)
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_words - removed_words >= {lines.KEPT_SHARE}::double * n_words as kept, removed_words
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_words - removed_words >= {lines.KEPT_SHARE}::double * n_words
+  and n_words - removed_words >= {lines.LEAST_WORDS} as kept, removed_words
 from figures
 """
 
 TILE_SEARCH = """
 with v as (
-  select vec_id, embedding::double[] as e from embeddings
+  select row_number() over () as item, vec_id, embedding::double[] as e from embeddings
   where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
     and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), scored as (
-  select q.vec_id as query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda x, y: x + y)) as score
-  from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0
+  select q.item as query, c.item, q.vec_id as query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda x, y: x + y)) as score
+  from v q join v c on q.item <> c.item and len(q.e) = len(c.e) where q.vec_id % 100 = 0
 )
-select query_id, row_number() over (partition by query_id order by score, vec_id)::int as rank, vec_id, score
+select query_id, row_number() over (partition by query order by score, vec_id, item)::int as rank, vec_id, score
 from scored qualify rank <= 10
 """
 
@@ -86,10 +84,19 @@ with d as (
   select d.*, source_size, target, coalesce(sum(size) over (partition by d.source order by key, item rows between unbounded preceding and 1 preceding), 0) as own
   from d join shares s on d.source is not distinct from s.source
 )
-select doc_id, size, source_size, target, (
-  greatest(0, least(size, round(target) - own)) + greatest(0, least(size, round(target) - own - source_size))
-  + greatest(0, least(size, round(target) - own - 2 * source_size)))::bigint as taken
-from queued
+, epochs as (
+  select q.*, e * source_size + own as first, e * source_size + own + size <= target as whole from queued q, (values (0), (1), (2)) as v(e)
+  where size > 0 and e * source_size + own < target
+), entries as (
+  select item, source, target, first + f as begin, case when whole then size else least({mixing.QUANTUM}, size - f) end as words
+  from (select *, unnest(case when whole then [0] else range(0, size, {mixing.QUANTUM}) end) as f from epochs)
+), served as (
+  select item, words, coalesce(sum(words) over (order by (begin + words)::double / target, source nulls last, begin rows between unbounded preceding and 1 preceding), 0) as before
+  from entries where begin < target
+), mixed as (
+  select item, sum(least(words, greatest(0, (select sum(size) from d) - before)))::bigint as taken from served group by item
+)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from queued left join mixed using (item)
 """
 
 ORACLES = {"op5_fair_mix": FAIR_MIX, "op8_line_frequency": LINE_FREQUENCY, "op9_tile_search": TILE_SEARCH}

@@ -30,7 +30,7 @@ def distinct(text: str, shingle: int) -> np.ndarray:
     return np.unique(simhash.hashes(text, shingle))
 
 
-def frequent(docs: DataFrame, shingle: int) -> np.ndarray:
+def frequent(docs: common.Numbered, shingle: int) -> np.ndarray:
     """Sorted hashes of the shingles that many of the sampled rows have."""
     schema = pa.schema([("shingle", pa.int64())])
 
@@ -39,7 +39,7 @@ def frequent(docs: DataFrame, shingle: int) -> np.ndarray:
             for text in batch.column(0):
                 yield pa.record_batch([pa.array(distinct(text.as_py() or "", shingle).view("<i8"))], schema=schema)
 
-    sample = docs.where(F.pmod(F.xxhash64(common.ITEM), F.lit(SAMPLED)) == 0).select(F.col("text").cast("string").alias("text"))
+    sample = docs.rows.where(F.pmod(F.xxhash64("item"), F.lit(SAMPLED)) == 0).select(F.col("row.text").cast("string").alias("text"))
     counted = sample.mapInArrow(lambda batches: common.released(run(batches)), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
     counted = common.keep(counted, "frequent")
     got = counted.orderBy(F.desc("n"), "shingle").limit(HOT).select("shingle").toArrow()
@@ -57,9 +57,9 @@ def prefix(own: np.ndarray, similarity: float, hot: np.ndarray) -> np.ndarray:
     return own[: n - math.ceil(similarity * n - 1e-9) + 1]
 
 
-def profiles(docs: DataFrame, shingle: int, similarity: float, hot: np.ndarray, more: int) -> DataFrame:
+def profiles(docs: common.Numbered, shingle: int, similarity: float, hot: np.ndarray, more: int) -> DataFrame:
     """item, doc_id, fp, more, node (a hash of the shingle set), size (of that set), prefix of numbered docs(doc_id, text)."""
-    spark = docs.sparkSession
+    spark = docs.rows.sparkSession
     schema = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("more", pa.list_(pa.int64())), ("node", pa.int64()), ("size", pa.int32()), ("prefix", pa.list_(pa.int64()))])
     shared = spark.sparkContext.broadcast(hot)
 
@@ -76,7 +76,7 @@ def profiles(docs: DataFrame, shingle: int, similarity: float, hot: np.ndarray,
                 firsts.append(prefix(own, similarity, shared.value).view("<i8"))
             yield pa.record_batch([*batch.columns[:2], pa.array(fps, pa.int64()), pa.array(rest, pa.list_(pa.int64())), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], schema=schema)
 
-    given = docs.select(common.item(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    given = docs.rows.select("item", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
     return given.mapInArrow(lambda batches: common.released(run(batches)), "item long, doc_id long, fp long, more array<long>, node long, size int, prefix array<long>")
 
 
@@ -97,7 +97,7 @@ def links(seen: DataFrame, joined: DataFrame, similarity: float) -> DataFrame:
 class Sets:
     """The shingle sets of nodes(node, sample), made again from the texts of only those nodes that are compared."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float):
+    def __init__(self, docs: common.Numbered, nodes: DataFrame, shingle: int, similarity: float):
         self.docs, self.nodes, self.shingle, self.similarity = docs, nodes, shingle, similarity
 
     def of(self, pairs: DataFrame) -> DataFrame:
@@ -109,8 +109,8 @@ class Sets:
                 yield pa.record_batch([batch.column(0), pa.array([distinct(t.as_py() or "", shingle).view("<i8") for t in batch.column(1)], pa.list_(pa.int64()))], schema=schema)
 
         asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        asked = common.keep(self.nodes.join(common.small(asked), "node").select("node", F.col("sample").alias(common.ITEM)), "asked")
-        texts = self.docs.select(common.ITEM, F.col("text").cast("string").alias("text")).join(common.small(asked), common.ITEM).select("node", "text")
+        asked = common.keep(self.nodes.join(common.small(asked), "node").select("node", F.col("sample").alias("item")), "asked")
+        texts = self.docs.rows.select("item", F.col("row.text").cast("string").alias("text")).join(common.small(asked), "item").select("node", "text")
         return common.keep(texts.mapInArrow(lambda batches: common.released(run(batches)), "node long, own array<long>"), "sets")
 
     def checked(self, pairs: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def remixed(h: np.ndarray, k: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, more: int = 0) -> DataFrame:
+def fingerprints(docs: DataFrame | common.Numbered, shingle: int = 3, more: int = 0) -> DataFrame:
     """item (numbers the rows), doc_id, fp and `more` further fingerprints (array more) of docs(doc_id, text).
 
     Null text is empty text.
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, more: int = 0) -> DataFrame:
                 rest.append([majority(remixed(h, k)) for k in range(1, more + 1)])
             yield pa.record_batch([*batch.columns[:2], pa.array(fps, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], schema=schema)
 
-    given = docs.select(common.item(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    given = common.rows(docs).select("item", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
     return given.mapInArrow(lambda batches: common.released(run(batches)), "item long, doc_id long, fp long, more array<long>")
 
 
@@ -108,16 +108,22 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def pivoted(fps: DataFrame) -> DataFrame:
+    """The pivot distance table: fps with the Hamming distances of fp to all PIVOTS, d0, d1 and so on."""
+    return fps.select("*", *(distance(F.col("fp"), F.lit(p)).cast("byte").alias(f"d{k}") for k, p in enumerate(PIVOTS)))
+
+
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges (a, b), b < a, between distinct fingerprints of fps(fp), with the components of "within radius bits".
+    """Edges (a, b), b < a, between distinct fingerprints of a `pivoted` fps(fp), with the components of "within radius
+    bits".
 
     Only a radius of 2 or less is exact for crowded coordinates, so a larger one is refused.
     """
     if not 0 <= radius <= 2:
         raise ValueError("radius is 0, 1 or 2")
-    distances = [distance(F.col("fp"), F.lit(p)).cast("byte").alias(f"d{k}") for k, p in enumerate(PIVOTS)]
+    distances = [f"d{k}" for k in range(len(PIVOTS))]
     key = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in choices(BLOCKS, radius)))).alias("choice", "key")
-    table = fps.select("fp", key)
+    table = fps.select("fp", *distances, key)
     crowd = table.groupBy("choice", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     crowd = common.keep(crowd, "crowds")
     sparse = table.join(crowd.where(F.col("n") <= CROWD), ["choice", "key"]).select("choice", "key", "fp", *distances)
@@ -197,7 +203,7 @@ def wide_links(reps: DataFrame, rows: int, similarity: float, reach: int = REACH
     return linked.select("a", "b", (F.col("n") > reach).alias("crowded")), met.where("a = b").select(F.col("a").alias("node"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame | common.Numbered, shingle: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
     """item, doc_id, fp and component_id of each row of docs(doc_id, text); with `similarity` also first.
 
     Fingerprints within `radius` bits link; component_id is the smallest doc_id that links reach, itself included (null
@@ -208,15 +214,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, similari
     if similarity:
         return similar(docs, shingle, similarity)
     seen = common.keep(fingerprints(docs, shingle), "fingerprints")
-    fps = common.keep(seen.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    fps = common.keep(pivoted(seen.groupBy("fp").agg(F.min("doc_id").alias("least"))), "distinct")
     roots = components.components(links(fps, radius))
-    joined = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = joined.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return seen.join(common.small(of), "fp").select("item", "doc_id", "fp", "component_id")
+    linked = common.keep(fps.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp"), "linked")
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = common.salted(linked.select("fp", "root"), ids, "root", "fp").select("fp", "component_id")
+    # A fingerprint without links is its own component.
+    alone = fps.select("fp", "least").join(linked.select("fp"), "fp", "left_anti")
+    of = common.keep(of.union(alone.select("fp", F.col("least").alias("component_id"))), "of")
+    return common.salted(seen, of, "fp", "item").select("item", "doc_id", "fp", "component_id")
 
 
-def similar(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def similar(docs: DataFrame | common.Numbered, shingle: int, similarity: float) -> DataFrame:
     """item, doc_id, fp, component_id and first of each row of docs(doc_id, text): texts link if the Jaccard similarity
     of their sets of distinct word shingles is at least `similarity`, by those sets and by nothing else.
 
@@ -227,7 +236,7 @@ def similar(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     pairs, and the components are those of all similar pairs, whatever the bits, groups and number of rows.
     `first` marks one row of each component: of the smallest doc_id, then item. Texts without words are one node.
     """
-    docs = docs if common.ITEM in docs.columns else common.numbered(docs)
+    docs = docs if isinstance(docs, common.Numbered) else common.numbered(docs)
     hot = prefixed.frequent(docs, shingle)
     seen = common.keep(prefixed.profiles(docs, shingle, similarity, hot, MORE), "profiles")
     nodes = seen.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("item").alias("sample"), F.min("size").alias("size"), F.min(F.concat(F.array("fp"), "more")).alias("words"))
@@ -258,7 +267,7 @@ def similar(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     rest = rest.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
     joined = merged(rest.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).where("a > b").distinct())
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = joined.select("node", "root").join(ids, "root")
+    of = common.salted(joined.select("node", "root"), ids, "root", "node").select("node", "root", "component_id")
     out = seen.join(common.small(of), "node").select("item", "doc_id", "fp", "component_id", "root")
     one = out.groupBy("root").agg(F.min_by("item", F.struct(F.col("doc_id").isNull(), "doc_id", "item")).alias("item")).select("item", F.lit(True).alias("first"))
     return out.drop("root").join(common.small(one), "item", "left").withColumn("first", F.coalesce("first", F.lit(False)))

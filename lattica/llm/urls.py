@@ -64,8 +64,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str], ...
     host and path, no tokens and are allowed; repeated rows and null ids stay rows; with no labels nothing is mined; an
     empty table gives no rows; other columns are ignored.
     """
-    url = F.col("url").cast("string")
-    given = pages.select(common.item(pages), F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), url.alias("url"))
+    url = F.col("row.url").cast("string")
+    given = common.rows(pages).select("item", F.col("row.page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), url.alias("url"))
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
     seen = common.keep(given.withColumn("rule", rule).withColumn("listed", verdict).withColumn("tokens", tokens_of(F.col("url"), F.col("host"), F.col("path"))).drop("url"), "urls")
     marks = labels.groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
