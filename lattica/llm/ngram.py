@@ -1,7 +1,7 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
 
 Words are of open vocabulary and scripts have tens of thousands of characters, so the model's symbols are the bytes of
-UTF-8: order 6, no symbol is unknown and none stands for two. A gram is one long of 9 bits a symbol. Log probabilities are
+UTF-8: order 5, no symbol is unknown and none stands for two. A gram is one long of 9 bits a symbol. Log probabilities are
 held as whole numbers of 2^-20, so a text's total is the same sum in any order and on either way of looking grams up.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ORDER = 6
+ORDER = 5
 #: Bits of a symbol: 0 stands before a text's beginning, bytes are one more.
 BITS = 9
 #: A log probability of 1 is so many units.
