@@ -3,6 +3,9 @@
 Two sets of Jaccard similarity t or more share at least t of each one's members. So in any one order of all shingles, the
 first n - ceil(t n) + 1 of each set have one in common: an equi-join on these proposes every such pair. Shingles that a
 sample of the documents repeats come last in the order. That keeps groups small and has no bearing on which pairs are found.
+
+Pairs proposed are discarded by a bound before any set is fetched: members are counted in buckets by their hash, and two
+sets share no more than the sum of the lesser counts. Survivors are compared on the sets.
 """
 
 from __future__ import annotations
@@ -11,9 +14,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, simhash
@@ -57,15 +61,32 @@ def prefix(own: np.ndarray, similarity: float, hot: np.ndarray) -> np.ndarray:
     return own[: n - math.ceil(similarity * n - 1e-9) + 1]
 
 
+def sketch(own: np.ndarray) -> bytes | None:
+    """Counts of a set's members by the low bits of their hash, a byte each, about two members a bucket; null if a count
+    exceeds a byte. `shared` bounds what two sets share by them."""
+    buckets = 1 << max(4, (max(len(own), 1) - 1).bit_length() - 1)
+    counts = np.bincount((own & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
+
+
+def shared(a: bytes | None, b: bytes | None, least: int) -> int:
+    """At least as many members as two sets share, by their sketches; `least`, the smaller size, if one has none. The
+    longer sketch is folded to the shorter: bucket counts add."""
+    if a is None or b is None:
+        return least
+    x, y = (np.frombuffer(s, np.uint8).astype(np.int64) for s in sorted((a, b), key=len))
+    return int(np.minimum(x, y.reshape(-1, len(x)).sum(axis=0)).sum())
+
+
 def profiles(docs: common.Numbered, shingle: int, similarity: float, hot: np.ndarray, more: int) -> DataFrame:
-    """item, doc_id, fp, more, node (a hash of the shingle set), size (of that set), prefix of numbered docs(doc_id, text)."""
+    """item, doc_id, fp, more, node (a hash of the shingle set), size (of that set), prefix, sketch of docs(doc_id, text)."""
     spark = docs.rows.sparkSession
-    schema = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("more", pa.list_(pa.int64())), ("node", pa.int64()), ("size", pa.int32()), ("prefix", pa.list_(pa.int64()))])
-    shared = spark.sparkContext.broadcast(hot)
+    schema = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("more", pa.list_(pa.int64())), ("node", pa.int64()), ("size", pa.int32()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    known = spark.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, rest, nodes, sizes, firsts = [], [], [], [], []
+            fps, rest, nodes, sizes, firsts, sketches = [], [], [], [], [], []
             for text in batch.column(2):
                 h = simhash.hashes(text.as_py() or "", shingle)
                 own = np.unique(h)
@@ -73,21 +94,23 @@ def profiles(docs: common.Numbered, shingle: int, similarity: float, hot: np.nda
                 rest.append([simhash.majority(simhash.remixed(h, k)) for k in range(1, more + 1)])
                 nodes.append(simhash.signed(xxhash.xxh64_intdigest(own.tobytes(), 7)))
                 sizes.append(len(own))
-                firsts.append(prefix(own, similarity, shared.value).view("<i8"))
-            yield pa.record_batch([*batch.columns[:2], pa.array(fps, pa.int64()), pa.array(rest, pa.list_(pa.int64())), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], schema=schema)
+                firsts.append(prefix(own, similarity, known.value).view("<i8"))
+                sketches.append(sketch(own))
+            yield pa.record_batch([*batch.columns[:2], pa.array(fps, pa.int64()), pa.array(rest, pa.list_(pa.int64())), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], schema=schema)
 
     given = docs.rows.select("item", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
-    return given.mapInArrow(lambda batches: common.released(run(batches)), "item long, doc_id long, fp long, more array<long>, node long, size int, prefix array<long>")
+    return given.mapInArrow(lambda batches: common.released(run(batches)), "item long, doc_id long, fp long, more array<long>, node long, size int, prefix array<long>, sketch binary")
 
 
 def links(seen: DataFrame, joined: DataFrame, similarity: float) -> DataFrame:
     """All pairs (a, b), b < a, of nodes of different roots that share a shingle of their prefixes and whose sizes allow
     the similarity; seen is profiles' rows, joined has node, sample (the row that stands for the node) and root."""
-    first = seen.join(common.small(joined.select(F.col("sample").alias("item"), "root")), "item").select("node", "root", "size", F.explode("prefix").alias("shingle"))
-    group = Window.partitionBy("shingle")
-    # Groups of one root have nothing left to compare; most have a single member.
-    mixed = first.withColumn("lo", F.min("root").over(group)).withColumn("hi", F.max("root").over(group)).where("lo < hi").drop("lo", "hi")
-    mixed = common.keep(mixed, "mixed")
+    stands = seen.join(common.small(joined.select(F.col("sample").alias("item"), "root")), "item")
+    stands = common.keep(stands.select("node", "root", "size", "prefix"), "prefixes")
+    first = stands.select("node", "root", "size", F.explode("prefix").alias("shingle"))
+    # Most shingles are of one root, which has nothing left to compare: only the others' rows meet.
+    mixed = stands.select("root", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
+    mixed = common.keep(first.join(common.small(common.keep(mixed, "mixed")), "shingle"), "met")
     x, y = mixed.alias("x"), mixed.alias("y")
     fits = F.least("x.size", "y.size") >= F.lit(similarity) * F.greatest("x.size", "y.size") - 1e-9
     met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & fits
@@ -95,10 +118,25 @@ def links(seen: DataFrame, joined: DataFrame, similarity: float) -> DataFrame:
 
 
 class Sets:
-    """The shingle sets of nodes(node, sample), made again from the texts of only those nodes that are compared."""
+    """The shingle sets of nodes(node, sample), made again from the texts of only those nodes that are compared; seen is
+    profiles' rows."""
 
-    def __init__(self, docs: common.Numbered, nodes: DataFrame, shingle: int, similarity: float):
-        self.docs, self.nodes, self.shingle, self.similarity = docs, nodes, shingle, similarity
+    def __init__(self, docs: common.Numbered, nodes: DataFrame, seen: DataFrame, shingle: int, similarity: float):
+        self.docs, self.nodes, self.seen, self.shingle, self.similarity = docs, nodes, seen, shingle, similarity
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sketches do not rule the similarity out."""
+        similarity = self.similarity
+
+        @F.pandas_udf("boolean")
+        def may(wa: pd.Series, wb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+            return pd.Series([shared(x, y, min(n, m)) >= similarity / (1 + similarity) * (n + m) - 1e-6 for x, y, n, m in zip(wa, wb, na, nb)], dtype=bool)
+
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        asked = self.nodes.join(common.small(asked), "node").select("node", F.col("sample").alias("item"))
+        own = common.keep(self.seen.select("item", "size", "sketch").join(common.small(asked), "item").select("node", "size", "sketch"), "sketches")
+        x, y = (own.select(F.col("node").alias(c), F.col("sketch").alias(f"w{c}"), F.col("size").alias(f"n{c}")) for c in "ab")
+        return pairs.join(x, "a").join(y, "b").where(may("wa", "wb", "na", "nb")).select("a", "b")
 
     def of(self, pairs: DataFrame) -> DataFrame:
         shingle = self.shingle
@@ -115,7 +153,7 @@ class Sets:
 
     def checked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets have the similarity."""
-        pairs = common.keep(pairs.select("a", "b"), "pairs")
+        pairs = common.keep(self.possible(common.keep(pairs.select("a", "b"), "proposed")), "pairs")
         own = self.of(pairs)
         x, y = (own.select(F.col("node").alias(c), F.col("own").alias(w)) for c, w in (("a", "wa"), ("b", "wb")))
         both = F.size(F.array_intersect("wa", "wb"))

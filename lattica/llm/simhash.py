@@ -143,8 +143,8 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.union(crowded).distinct()
 
 
-#: Further fingerprints of the wide step: 1024 bits tell 0.8 from 0.7 apart, 64 do not.
-MORE = 15
+#: Further fingerprints of the wide step: 512 bits tell 0.8 from 0.6 apart, 64 do not.
+MORE = 7
 #: Partners proposed to each member of a group of equal sampled coordinates, in each table; and in the first round, which
 #: joins most members of large groups before the full reach is spent on what is left.
 REACH = 16
@@ -173,15 +173,15 @@ def allowed(bits: int, similarity: float, slack: float) -> int:
     return int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
-def wide_links(reps: DataFrame, rows: int, similarity: float, reach: int = REACH, level: int = 0, spare: float = 3.0, slack: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """Proposed edges (a, b, crowded), b < a, between reps(node, fp, words) whose 1024 bits say `similarity` or more, with
+def wide_links(reps: DataFrame, rows: int, similarity: float, reach: int = REACH, level: int = 0, spare: float = 1.0, slack: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """Proposed edges (a, b, crowded), b < a, between reps(node, fp, words) whose 512 bits say `similarity` or more, with
     whether a crowded group proposed them; and the nodes of all members of crowded groups.
 
     Each table samples coordinates (differences of distances to single-bit references) and groups equal ones. The pair is
     proposed if its differing bits are at most the expected number plus `slack` standard deviations; before the further
     fingerprints are fetched, the first 64 bits alone discard pairs beyond three. A member is compared with the next
     `reach` of its group, in an order of each table's own. A group with members beyond reach of each other is crowded.
-    All tables draw on the same 1024 bits, so their recall is not that of independent ones: nothing rests on it.
+    All tables draw on the same 512 bits, so their recall is not that of independent ones: nothing rests on it.
     """
     bits, count = tables(rows, similarity, spare, level)
     rng = np.random.default_rng(256)
@@ -241,7 +241,7 @@ def similar(docs: DataFrame | common.Numbered, shingle: int, similarity: float)
     seen = common.keep(prefixed.profiles(docs, shingle, similarity, hot, MORE), "profiles")
     nodes = seen.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("item").alias("sample"), F.min("size").alias("size"), F.min(F.concat(F.array("fp"), "more")).alias("words"))
     joined = common.keep(nodes.withColumn("fp", F.element_at("words", 1)).withColumn("root", F.col("node")), "roots")
-    sets = prefixed.Sets(docs, joined.select("node", "sample"), shingle, similarity)
+    sets = prefixed.Sets(docs, joined.select("node", "sample"), seen, shingle, similarity)
 
     def merged(edges: DataFrame) -> DataFrame:
         upper = components.components(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))

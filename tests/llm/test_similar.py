@@ -49,3 +49,17 @@ def test_repeated_lines_do_not_decide(spark):
     rows += [(20, " ".join(body + line * 2)), (21, " ".join(body + line * 40))]  # of one set
     want = components(rows, 0.8)
     assert want == {**{k: k for k in range(10)}, 20: 20, 21: 20} and got(spark, rows) == want
+
+
+def test_sketches_bound_what_sets_share():
+    rng = np.random.default_rng(10)
+    for n in (0, 1, 9, 70, 700, 9000):
+        for part in (0.0, 0.4, 0.8, 1.0):
+            pool = rng.integers(0, 2**63, 2 * n + 1, dtype=np.uint64)
+            m = n * 9 // 10
+            a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[: int(part * m)], pool[n : n + m - int(part * m)]]))
+            both, bound = len(np.intersect1d(a, b)), prefixed.shared(prefixed.sketch(a), prefixed.sketch(b), min(len(a), len(b)))
+            assert both <= bound <= min(len(a), len(b)) and (n < 70 or part > 0 or bound < 0.7 * m)
+    # A bucket with more than a byte's count has no sketch, which rules nothing out.
+    crowd = np.arange(0, 300 * 2**20, 2**20, dtype=np.uint64)
+    assert prefixed.sketch(crowd) is None and prefixed.shared(None, prefixed.sketch(crowd[:9]), 9) == 9
