@@ -104,16 +104,22 @@ def profiles(docs: common.Numbered, shingle: int, similarity: float, hot: np.nda
 
 def links(seen: DataFrame, joined: DataFrame, similarity: float) -> DataFrame:
     """All pairs (a, b), b < a, of nodes of different roots that share a shingle of their prefixes and whose sizes allow
-    the similarity; seen is profiles' rows, joined has node, sample (the row that stands for the node) and root."""
+    the similarity; seen is profiles' rows, joined has node, sample (the row that stands for the node) and root.
+
+    Two sets share no more from a common shingle on than either has from there, so the first one that they have in common
+    stands early enough in both: a pair is taken up where it does. Members that only meet late, as texts around one common
+    line do, are not paired.
+    """
     stands = seen.join(common.small(joined.select(F.col("sample").alias("item"), "root")), "item")
     stands = common.keep(stands.select("node", "root", "size", "prefix"), "prefixes")
-    first = stands.select("node", "root", "size", F.explode("prefix").alias("shingle"))
+    first = stands.select("node", "root", "size", F.posexplode("prefix").alias("at", "shingle"))
     # Most shingles are of one root, which has nothing left to compare: only the others' rows meet.
     mixed = stands.select("root", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
     mixed = common.keep(first.join(common.small(common.keep(mixed, "mixed")), "shingle"), "met")
     x, y = mixed.alias("x"), mixed.alias("y")
     fits = F.least("x.size", "y.size") >= F.lit(similarity) * F.greatest("x.size", "y.size") - 1e-9
-    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & fits
+    early = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) >= F.lit(similarity / (1 + similarity)) * (F.col("x.size") + F.col("y.size")) - 1e-6
+    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & fits & early
     return x.join(y, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
