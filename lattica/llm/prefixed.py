@@ -27,6 +27,10 @@ SAMPLED = 16
 OFTEN = 3
 #: Frequent shingles that travel to the workers, the most frequent first.
 HOT = 500_000
+#: Nodes with a shingle in their prefixes, above which they are compared in blocks of so many, so that only pairs that their
+#: sketches allow become rows.
+CROWD = 64
+BLOCK = 1_024
 
 
 def distinct(text: str, shingle: int) -> np.ndarray:
@@ -114,13 +118,57 @@ def links(seen: DataFrame, joined: DataFrame, similarity: float) -> DataFrame:
     stands = common.keep(stands.select("node", "root", "size", "prefix"), "prefixes")
     first = stands.select("node", "root", "size", F.posexplode("prefix").alias("at", "shingle"))
     # Most shingles are of one root, which has nothing left to compare: only the others' rows meet.
-    mixed = stands.select("root", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
-    mixed = common.keep(first.join(common.small(common.keep(mixed, "mixed")), "shingle"), "met")
-    x, y = mixed.alias("x"), mixed.alias("y")
+    mixed = stands.select("root", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("shingle", "n")
+    mixed = common.keep(mixed, "mixed")
+    met = common.keep(first.join(common.small(mixed), "shingle"), "met")
+    x, y = met.where(F.col("n") <= CROWD).alias("x"), met.where(F.col("n") <= CROWD).alias("y")
     fits = F.least("x.size", "y.size") >= F.lit(similarity) * F.greatest("x.size", "y.size") - 1e-9
     early = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) >= F.lit(similarity / (1 + similarity)) * (F.col("x.size") + F.col("y.size")) - 1e-6
-    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & fits & early
-    return x.join(y, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    both = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & fits & early
+    sparse = x.join(y, both).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    crowded = met.where(F.col("n") > CROWD)
+    own = common.keep(seen.join(common.small(joined.select(F.col("sample").alias("item"))), "item").select("node", "sketch").join(common.small(crowded.select("node").distinct()), "node"), "crowded")
+    return sparse.union(blocks(crowded.join(common.small(own), "node"), similarity)).distinct()
+
+
+def blocks(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), b < a, as of `links`, of members(shingle, n, node, root, size, at, sketch) of crowded shingles: those
+    that sketches allow. A shingle's members are dealt to blocks, and every two blocks, and each alone, meet in one call."""
+    each = F.ceil(F.col("n") / BLOCK)
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("node", "shingle"), each)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), each - 1)))
+    dealt = dealt.select("shingle", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "root", "size", "at", "sketch")
+
+    def work(one: pd.DataFrame) -> pd.DataFrame:
+        lo, hi, own = one["lo"].iloc[0], one["hi"].iloc[0], one["own"].to_numpy()
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        node, root, size, at = (one[c].to_numpy() for c in ("node", "root", "size", "at"))
+        counts = {n: [] for n in {0 if s is None else len(s) for s in one["sketch"]}}
+        for k, s in enumerate(one["sketch"]):
+            counts[0 if s is None else len(s)].append(k)
+        of = np.zeros(len(one), dtype=np.int64)
+        place = np.zeros(len(one), dtype=np.int64)
+        tables = {}
+        for n, rows in counts.items():
+            of[rows], place[rows] = n, np.arange(len(rows))
+            tables[n] = np.stack([np.frombuffer(one["sketch"].iloc[k], np.uint8) for k in rows]) if n else None
+        found = []
+        for k in left:
+            need = similarity / (1 + similarity) * (size[k] + size[right]) - 1e-6
+            may = (root[right] != root[k]) & (np.minimum(size[k] - at[k], size[right] - at[right]) >= need) & ((node[right] < node[k]) | (lo != hi))
+            may &= np.minimum(size[k], size[right]) >= similarity * np.maximum(size[k], size[right]) - 1e-9
+            rows, need = right[may], need[may]
+            for n in np.unique(of[rows]):
+                these, wanted = rows[of[rows] == n], need[of[rows] == n]
+                if n and of[k]:
+                    mine, theirs = tables[of[k]][place[k]], tables[n][place[these]]
+                    width = min(n, of[k])
+                    mine, theirs = mine.reshape(-1, width).sum(axis=0, dtype=np.uint16), theirs.reshape(len(these), -1, width).sum(axis=1, dtype=np.uint16)
+                    these = these[np.minimum(theirs, mine).sum(axis=1, dtype=np.int64) >= wanted]
+                found.append(np.stack([np.full(len(these), node[k]), node[these]]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+        return pd.DataFrame({"a": pairs.max(axis=0), "b": pairs.min(axis=0)})
+
+    return dealt.groupBy("shingle", "lo", "hi").applyInPandas(work, "a long, b long")
 
 
 class Sets:

@@ -39,6 +39,22 @@ def test_pairs_at_the_limit_are_found_whatever_the_bits(spark, monkeypatch):
     assert all(want[d] == d - d % 2 for d in want) and got(spark, rows) == want
 
 
+def test_crowded_shingles_are_compared_in_blocks(spark, monkeypatch):
+    """A family around one text, of all similarities: every shingle is crowded, blocks are of a few members."""
+    monkeypatch.setattr(simhash, "tables", lambda rows, similarity, spare, level=0: (64, 1))
+    monkeypatch.setattr(prefixed, "CROWD", 1)
+    monkeypatch.setattr(prefixed, "BLOCK", 7)
+    rng = np.random.default_rng(12)
+    base, rows = [f"s{x}" for x in rng.integers(0, 50_000, 120)], []
+    for k in range(90):
+        own = base[: int(rng.integers(60, 121))]
+        for j in rng.integers(0, len(own), int(rng.integers(0, 5))):
+            own[j] = f"n{k}x{j}"
+        rows.append((k, " ".join(own)))
+    want = components(rows, 0.8)
+    assert got(spark, rows) == want and 2 < len(set(want.values())) < 80
+
+
 def test_repeated_lines_do_not_decide(spark):
     rng = np.random.default_rng(9)
     words = lambda n: [f"w{x}" for x in rng.integers(0, 50_000, n)]
