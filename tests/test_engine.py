@@ -190,8 +190,13 @@ def test_reduction_schema_ids(spark):
     assert {r["class"]: r["superclasses"] for r in schema.superclass_sets(schema.superclass_pairs(typed)).collect()} == {"Big%20Block": ["Big%20Block", "Element"]}
     rows = spark.createDataFrame([("SID-a1 /sid-a1 sid-b",)], "t string")
     m = spark.createDataFrame([("sid-a1", "X")], "key string, value string")
-    for most in (10, 0):
-        assert tuple(ids.replace_ids(rows, "t", m, most).first()) == ("X /sid-a1 sid-b", 1)
+    assert tuple(ids.replace_ids(rows, "t", m).first()) == ("X /sid-a1 sid-b", 1)
+    odd = spark.createDataFrame([(1, "a\0sid-a1 SID-A1"), (2, None), (3, "none"), (4, "a\0sid-a1 SID-A1")], "k int, t string")
+    assert {r["k"]: (r["t"], r["n_replaced"]) for r in ids.replace_ids(odd, "t", m).collect()} == {1: ("a\0X X", 2), 2: (None, 0), 3: ("none", 0), 4: ("a\0X X", 2)}
+    nested = '{"sid-a1": ["sid-a1", {"query": {"x": "sid-a1"}, "y": "see SID-a1, sid-b"}], "query": "sid-a1"}'
+    got = ids.replace_ids_nested(spark.createDataFrame([(nested,), ("no json sid-a1",)], "t string"), "t", m).orderBy(F.desc("n_replaced")).collect()
+    assert json.loads(got[0]["t"]) == {"sid-a1": ["X", {"query": {"x": "sid-a1"}, "y": "see X, sid-b"}], "query": "sid-a1"} and got[0]["n_replaced"] == 2
+    assert tuple(got[1]) == ("no json sid-a1", 0)
 
 
 def test_texts(spark):
