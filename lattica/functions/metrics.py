@@ -6,7 +6,6 @@ Encoders and judges are not run here: vectors and recorded judge outputs are inp
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -81,11 +80,21 @@ def cosine_similarity(got: Column, expected: Column, got_vector: Column, expecte
     return F.when(blank(expected), skipped("no expected answer")).when(blank(got), score(F.lit(0.0))).otherwise(score(unit_cosine(got_vector, expected_vector)))
 
 
+def unit(v: Column) -> Column:
+    """The vector by its length; a zero vector stays zero."""
+    size = F.sqrt(dot(v, v))
+    return F.transform(v, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(F.lit(0.0)))
+
+
 def bert_core(got: Column, expected: Column) -> Column:
-    """F1 of greedy matching between two lists of token vectors: P over candidate rows, R over reference rows."""
-    best = lambda rows, others: F.aggregate(F.transform(rows, lambda x: F.array_max(F.transform(others, lambda y: unit_cosine(x, y)))), F.lit(0.0), lambda s, v: s + v) / F.size(rows)
-    p, r = best(got, expected), best(expected, got)
-    f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+    """F1 of greedy matching between two lists of token vectors: P over candidate rows, R over reference rows. Vectors are
+    normalised once, and one table of products gives the maxima of both directions."""
+    others = F.transform(expected, unit)
+    table = F.transform(F.transform(got, unit), lambda x: F.transform(others, lambda y: dot(x, y)))
+    mean = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / F.size(values)
+    down = lambda rows: F.transform(F.get(rows, F.lit(0)), lambda _, j: F.array_max(F.transform(rows, lambda row: F.get(row, j))))
+    best = F.transform(F.array(table), lambda t: F.struct(mean(F.transform(t, F.array_max)).alias("p"), mean(down(t)).alias("r")))
+    f = F.get(F.transform(best, lambda b: F.when(b["p"] + b["r"] > 0, 2 * b["p"] * b["r"] / (b["p"] + b["r"])).otherwise(F.lit(0.0))), F.lit(0))
     empty = (F.coalesce(F.size(got), F.lit(0)) <= 0) | (F.coalesce(F.size(expected), F.lit(0)) <= 0)
     return F.when(empty, score(F.lit(0.0))).otherwise(score(f))
 
@@ -102,41 +111,71 @@ def set_precision(expected: Column, actual: Column) -> Column:
     return F.when(F.size(e) == 0, F.when(F.size(a) == 0, 1.0).otherwise(0.0)).when(F.size(a) == 0, 0.0).otherwise(hit / F.size(a))
 
 
-def chrf_value(got: str, expected: str, most: int = 6) -> float:
-    """Character n-gram F1, white space removed, orders 1 to `most` averaged; an order longer than a text gives 0."""
-    a, b = re.sub(r"\s+", "", got), re.sub(r"\s+", "", expected)
-    if not a or not b:
-        return 0.0
-    p = r = 0.0
+def chrf_values(got: list[str], expected: list[str], most: int = 6) -> np.ndarray:
+    """Character n-gram F1 of each pair, white space removed, orders 1 to `most` averaged; an order longer than a text gives
+    0. All texts of a batch are worked on together: a gram's number is made of that of the gram one shorter and the next
+    character, and equal (pair, gram) are counted by sorting."""
+    texts = [re.sub(r"\s+", "", t) for t in (*got, *expected)]
+    k = len(got)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    characters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    text = np.repeat(np.arange(2 * k), sizes)
+    ends = np.cumsum(sizes)[text] if len(text) else np.zeros(0, dtype=np.int64)
+    at, grams = np.arange(len(characters)), np.zeros(len(characters), dtype=np.int64)
+    p, r = np.zeros(k), np.zeros(k)
     for n in range(1, most + 1):
-        x, y = (Counter(t[i : i + n] for i in range(len(t) - n + 1)) for t in (a, b))
-        hit = (x & y).total()
-        p += hit / max(len(a) - n + 1, 1)
-        r += hit / max(len(b) - n + 1, 1)
+        fits = at + n <= ends[at]
+        at, grams = at[fits], grams[fits]
+        grams = np.unique(grams << 21 | characters[at + n - 1], return_inverse=True)[1].astype(np.int64)
+        pair, mine = text[at] % max(k, 1), text[at] < k
+        keys = [np.unique(pair[m] * (len(grams) + 1) + grams[m], return_counts=True) for m in (mine, ~mine)]
+        both, x, y = np.intersect1d(keys[0][0], keys[1][0], assume_unique=True, return_indices=True)
+        hit = np.bincount(both // (len(grams) + 1), weights=np.minimum(keys[0][1][x], keys[1][1][y]), minlength=k)
+        p += hit / np.maximum(sizes[:k] - n + 1, 1)
+        r += hit / np.maximum(sizes[k:] - n + 1, 1)
     p, r = p / most, r / most
-    return 2 * p * r / (p + r) if p + r else 0.0
+    return np.divide(2 * p * r, p + r, out=np.zeros(k), where=p + r > 0)
+
+
+def chrf_value(got: str, expected: str, most: int = 6) -> float:
+    return float(chrf_values([got], [expected], most)[0])
+
+
+#: Marks that end a sentence, besides line ends; a word is a run of letters and digits, joined by these.
+SENTENCE_END = r"[.!?\u3002\uFF01\uFF1F]+|\r?\n+"
+WORD = r"[^\W_]+(?:['\u2019\-][^\W_]+)*"
 
 
 def sentences(text: str) -> list[list[str]]:
-    """Words by sentence: a sentence ends after . ! or ? before white space; words are runs of letters, digits and '."""
-    return [w for s in re.split(r"(?<=[.!?])\s+", text.strip()) if (w := re.findall(r"[\w'’]+", s))]
+    """Words by sentence, sentences without words left out."""
+    return [w for s in re.split(SENTENCE_END, text) if (w := re.findall(WORD, s))]
 
 
 def lcs_positions(reference: list[str], candidate: list[str]) -> set[int]:
-    """Places in reference of a longest common subsequence; on a tie the walk back moves up the reference."""
-    table = np.zeros((len(reference) + 1, len(candidate) + 1), dtype=np.int32)
-    for i, w in enumerate(reference, 1):
-        for j, v in enumerate(candidate, 1):
-            table[i, j] = table[i - 1, j - 1] + 1 if w == v else max(table[i - 1, j], table[i, j - 1])
-    i, j, out = len(reference), len(candidate), set()
-    while i and j:
-        if reference[i - 1] == candidate[j - 1]:
-            out.add(i - 1)
-            i, j = i - 1, j - 1
-        elif table[i - 1, j] >= table[i, j - 1]:
-            i -= 1
-        else:
-            j -= 1
+    """Places in reference of a longest common subsequence; on a tie the walk back moves up the reference.
+
+    A row of lengths is the running maximum of the row above and of what its matches extend. In each row the walk stands
+    at the last place up to where it was that matches or that the row above is as long at; all these are found at once.
+    """
+    words = {w: k for k, w in enumerate({*reference, *candidate})}
+    of, others = np.array([words[w] for w in reference]), np.array([words[w] for w in candidate])
+    length, stops, matches = np.zeros(len(candidate) + 1, dtype=np.int32), [], []
+    places = np.arange(1, len(candidate) + 1)
+    for w in of:
+        match = others == w
+        row = np.maximum.accumulate(np.maximum(length[1:], np.where(match, length[:-1] + 1, 0)))
+        before = np.concatenate([[0], row[:-1]])
+        stops.append(np.concatenate([[0], np.maximum.accumulate(np.where(match | (length[1:] >= before), places, 0))]))
+        matches.append(match)
+        length = np.concatenate([[0], row])
+    out, at = set(), len(candidate)
+    for k in range(len(reference) - 1, -1, -1):
+        at = int(stops[k][at])
+        if not at:
+            break
+        if matches[k][at - 1]:
+            out.add(k)
+            at -= 1
     return out
 
 
@@ -159,20 +198,43 @@ def rouge_l_jackknife(got: str, references: list[str]) -> float:
     return float(np.mean([max(values[:k] + values[k + 1 :]) for k in range(len(values))]))
 
 
-def _paired(function: Callable[[str, str], float], got: Column, expected: Column) -> Column:
+def _paired(function: Callable[[list[str], list[str]], list[float]], got: Column, expected: Column) -> Column:
     def run(g: pd.Series, e: pd.Series) -> pd.Series:
-        return pd.Series([function(x or "", y or "") for x, y in zip(g, e)], dtype="float64")
+        return pd.Series(function([x or "" for x in g], [x or "" for x in e]), dtype="float64")
 
     value = F.pandas_udf(run, "double")(got, expected)
     return F.when(blank(expected), skipped("no expected answer")).otherwise(score(value))
 
 
 def chrf(got: Column, expected: Column) -> Column:
-    return _paired(chrf_value, got, expected)
+    return _paired(chrf_values, got, expected)
 
 
 def rouge_l_f1(got: Column, expected: Column) -> Column:
-    return _paired(rouge_l_value, got, expected)
+    return _paired(lambda g, e: list(map(rouge_l_value, g, e)), got, expected)
+
+
+def uri_metric(recall: bool = True, on_error: str = "throw") -> Callable[[dict], Column]:
+    """A metric of the columns expected_uris, uris (what the recorded query found), uri_error and recovery_used, as
+    `evaluate.uri_answers` gives them.
+
+    A question without a list of expected URIs, without a query, or whose query fails is an error: with on_error "throw"
+    the status is ERROR and the value null, with "zero" the status is OK, the value 0 and the details say so.
+    """
+    if on_error not in ("throw", "zero"):
+        raise ValueError("on_error is throw or zero")
+
+    def metric(c: dict) -> Column:
+        error = F.when(c["expected_uris"].isNull(), F.lit("invalid_input")).otherwise(c["uri_error"])
+        wanted = F.array_distinct(F.filter(F.transform(c["expected_uris"], lambda u: F.trim(u)), lambda u: u != ""))
+        value = (set_recall if recall else set_precision)(wanted, c["uris"])
+        text = lambda v: v.cast("string")
+        details = F.create_map(F.lit("recoveryUsed"), text(c["recovery_used"]), F.lit("expectedCount"), text(F.size(wanted)), F.lit("actualCount"), text(F.size(c["uris"])), F.lit("intersectionCount"), text(F.size(F.array_intersect(wanted, c["uris"]))))
+        message = F.create_map(F.lit("error"), error)
+        failed = score(F.lit(None), "ERROR", message) if on_error == "throw" else score(F.lit(0.0), "OK", F.map_concat(message, F.create_map(F.lit("degradedByError"), F.lit("true"), F.lit("errorMode"), F.lit("zero"))))
+        return F.when(error.isNotNull(), failed).otherwise(score(value, "OK", details))
+
+    return metric
 
 
 #: name -> function of the columns it needs, by name.
@@ -185,8 +247,8 @@ METRICS: dict[str, Callable[[dict], Column]] = {
     "llm_judge_majority": lambda c: llm_judge_majority(c["got"], c["votes"]),
     "llm_judge_score_avg": lambda c: llm_judge_score_avg(c["got"], c["ratings"]),
     "cosine_similarity": lambda c: cosine_similarity(c["got"], c["expected"], c["got_vector"], c["expected_vector"]),
-    "model_element_uri_recall": lambda c: score(set_recall(c["expected_uris"], c["uris"])),
-    "model_element_uri_precision": lambda c: score(set_precision(c["expected_uris"], c["uris"])),
+    "model_element_uri_recall": uri_metric(recall=True),
+    "model_element_uri_precision": uri_metric(recall=False),
 }
 
 
