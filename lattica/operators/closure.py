@@ -11,21 +11,37 @@ from ..storage import written
 def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """All (s, o) with a path of one or more edges(s, o), as a set; cycles end the search, not the program.
 
-    Each round joins the known paths with themselves, so path lengths double and rounds grow with their logarithm. A
-    round is written to the shared folder. Raises if `rounds` do not suffice.
+    Each round joins the pairs that the last one found with all known ones, on either side, so path lengths double and
+    rounds grow with their logarithm, and no two old pairs are joined again. A round is written to the shared folder.
+    Raises if `rounds` do not suffice.
     """
-    known = written(edges.select("s", "o").where("s IS NOT NULL AND o IS NOT NULL").distinct(), "closure")
-    n = known.count()
+    known = new = written(edges.select("s", "o").where("s IS NOT NULL AND o IS NOT NULL").distinct(), "closure")
     for _ in range(rounds):
-        longer = known.select("s", F.col("o").alias("m")).join(known.select(F.col("s").alias("m"), "o"), "m").select("s", "o")
-        known = written(known.union(longer).distinct(), "closure")
-        now = known.count()
-        if now == n:
+        ahead = new.select("s", F.col("o").alias("m")).join(known.select(F.col("s").alias("m"), "o"), "m").select("s", "o")
+        behind = known.select("s", F.col("o").alias("m")).join(new.select(F.col("s").alias("m"), "o"), "m").select("s", "o")
+        new = written(ahead.union(behind).distinct().join(known, ["s", "o"], "left_anti"), "closure")
+        if new.isEmpty():
             return known
-        n = now
+        known = known.union(new)
     raise RuntimeError("the closure did not settle")
 
 
+def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 100_000) -> DataFrame:
+    """(s, o) of the closure whose s is in starts(s): a search from there, one edge a round, that meets only what it
+    reaches."""
+    edges = written(edges.select("s", "o").where("s IS NOT NULL AND o IS NOT NULL").distinct(), "edges")
+    known = new = written(edges.join(starts.select("s").distinct(), "s", "left_semi"), "closure")
+    step = edges.select(F.col("s").alias("m"), "o")
+    for k in range(rounds):
+        if new.isEmpty():
+            return known
+        new = written(new.select("s", F.col("o").alias("m")).join(step, "m").select("s", "o").distinct().join(known, ["s", "o"], "left_anti"), "closure")
+        known = known.union(new)
+        if k % 16 == 15:  # keeps the plan short on long paths
+            known = written(known, "closure")
+    raise RuntimeError("the search did not settle")
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """Nodes on a cycle."""
     return closure(edges).where("s = o").select(F.col("s").alias("node"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import METRICS
+from ..functions.text import rel_path
+from ..plans.recovery import recovered
+from ..plans.syntax import SparqlError
 
 
 def events(traces: DataFrame) -> DataFrame:
@@ -51,6 +57,54 @@ def evaluate(rows: DataFrame, metrics: list[str], keys: list[str]) -> DataFrame:
     return scored.select(*keys, long).select(*keys, "x.metric", "x.score.*")
 
 
+def uri_answers(questions: DataFrame, run: Callable[[str], DataFrame], class_uri: str = r"^$", most: int = 20) -> DataFrame:
+    """questions(last_query, ...) with uris, recovery_used and uri_error, by running each distinct query.
+
+    run(text) gives a raw ordered result (terms); its first `most` rows are read. A query that finds no URI is rewritten to
+    ask for its driving variables and run again. What fails, in either run or the rewriting, is an error text; a null query
+    is missing_query. Queries are planned on the driver, one after the other: they are a question list, and each gives at
+    most `most` rows' cells.
+    """
+    spark = questions.sparkSession
+
+    def found(text: str) -> list[str]:
+        return sorted(r["uri"] for r in uri_cells(run(text), class_uri, most).collect())
+
+    def answer(text: str) -> tuple[list[str] | None, bool | None, str | None]:
+        try:
+            uris = found(text)
+            return (uris, False, None) if uris else (found(recovered(text)), True, None)
+        except (SparqlError, PySparkException) as e:
+            return None, None, f"{type(e).__name__}: {e}"[:600]
+
+    texts = [r["last_query"] for r in questions.select("last_query").where("last_query IS NOT NULL").distinct().toLocalIterator()]
+    answers = spark.createDataFrame([(t, *answer(t)) for t in texts], "last_query string, uris array<string>, recovery_used boolean, uri_error string")
+    return questions.join(answers, "last_query", "left").withColumn("uri_error", F.when(F.col("last_query").isNull(), "missing_query").otherwise(F.col("uri_error")))
+
+
+def run_filter(runs: DataFrame, model: str | None = None, questions_file: str | None = None) -> DataFrame:
+    """Runs of exactly this model and questions file; what is not given does not restrict."""
+    for c, wanted in (("llm.model", model), ("inputs.questionsFile", questions_file)):
+        if wanted:
+            runs = runs.where(F.col(c) == wanted)
+    return runs
+
+
+def run_identity(manifest_run: Column, meta_run: Column, folder: Column) -> Column:
+    """The run's id: by the evaluation's manifest, else by the run's record, else the folder's name."""
+    return F.coalesce(manifest_run, meta_run, F.regexp_extract(folder, r"([^/]+)/*$", 1))
+
+
+def rule_of(runs: DataFrame, rules: DataFrame) -> DataFrame:
+    """runs(questions_file, ...) with the settings of rules(questions_file, ...) for their file, compared with / for \\ and
+    trimmed; a file without settings raises."""
+    keyed = runs.withColumn("__file", rel_path(F.col("questions_file")))
+    named = rules.withColumn("__file", rel_path(F.col("questions_file"))).drop("questions_file")
+    if missing := keyed.join(named, "__file", "left_anti").first():
+        raise ValueError(f"no settings for {missing['questions_file']}")
+    return keyed.join(named, "__file").drop("__file")
+
+
 def single_rule(endpoints: DataFrame, rules: DataFrame) -> DataFrame:
     """endpoints(url) with the dataset of the one rules(pattern, dataset) whose pattern the url holds; none or several raise."""
     hits = endpoints.join(F.broadcast(rules) if rules.limit(10_001).count() <= 10_000 else rules, F.contains("url", "pattern"), "left").groupBy("url").agg(F.count("dataset").alias("n"), F.min("dataset").alias("dataset"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import terms as T
 from ..functions.text import date_time, local_name, rewrite_prefix, uri_fragment
+from ..storage import written
 
 
 def rewrite_namespaces(triples: DataFrame, prefixes: list[tuple[str, str]]) -> DataFrame:
@@ -43,18 +44,30 @@ def definitions_nodes(triples: DataFrame) -> DataFrame:
     return typed.groupBy("model").agg(F.array_sort(F.collect_set("s")).alias("nodes"))
 
 
-def matched_models(models: DataFrame, meta: DataFrame, original: DataFrame, deny: list[str]) -> DataFrame:
+def matched_models(models: DataFrame, meta: DataFrame, original: DataFrame, deny: list[str] | DataFrame) -> DataFrame:
     """models(model, error) joined in two steps: to meta(model, original_id), then original(original_id,
-    organization_id, name, datetime); skip_reason is null for models to merge."""
+    organization_id, name, datetime); skip_reason is null for models to merge. deny: names, or a frame of them (model)."""
+    if isinstance(deny, DataFrame):
+        models = models.join(deny.select("model").distinct().withColumn("__deny", F.lit(True)), "model", "left")
+        denied = F.coalesce("__deny", F.lit(False))
+    else:
+        denied = F.col("model").isin(deny)
     known = models.join(meta.withColumn("__meta", F.lit(True)), "model", "left").join(original.withColumn("__orig", F.lit(True)), "original_id", "left")
-    reason = F.when(F.col("model").isin(deny), "explicit_skip").when(F.col("__meta").isNull(), "no_meta_match").when(F.col("__orig").isNull(), "no_org_match").when(F.col("error").isNotNull(), "ttl_parse_error")
-    return known.withColumn("skip_reason", reason).drop("__meta", "__orig")
+    reason = F.when(denied, "explicit_skip").when(F.col("__meta").isNull(), "no_meta_match").when(F.col("__orig").isNull(), "no_org_match").when(F.col("error").isNotNull(), "ttl_parse_error")
+    return known.withColumn("skip_reason", reason).drop("__meta", "__orig", "__deny")
 
 
 def organization_labels(models: DataFrame) -> DataFrame:
-    """organization_id, organization_label: Org1, Org2, ... over the sorted distinct non-empty ids."""
+    """organization_id, organization_label: Org1, Org2, ... over the sorted distinct non-empty ids.
+
+    Ids are dealt to ranges and written, each range is numbered alone and begins where the ones before it end.
+    """
     ids = models.select("organization_id").where("organization_id IS NOT NULL AND organization_id <> ''").distinct()
-    return ids.withColumn("organization_label", F.concat(F.lit("Org"), F.dense_rank().over(Window.orderBy("organization_id")).cast("string")))
+    dealt = written(ids.repartitionByRange("organization_id").withColumn("__part", F.spark_partition_id()), "organizations")
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    starts = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    place = F.row_number().over(Window.partitionBy("__part").orderBy("organization_id")) + F.col("__before")
+    return dealt.join(F.broadcast(starts), "__part").select("organization_id", F.concat(F.lit("Org"), place.cast("string")).alias("organization_label"))
 
 
 def hierarchy(models: DataFrame, namespace: str, belongs_to: str, extension: str) -> DataFrame:

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from ..functions.text import fix_flags, fix_prefix
 from ..terms import RDFS
 
-#: Prefixes of rules. Neutral names by default: pass a vocabulary's own.
-NAMESPACES = {"bbo": "urn:process:bbo#", "ext": "urn:process:ext#", "org": "urn:process:org#", "rdfs": RDFS, "layer": "urn:process:layer#"}
+#: Prefixes of rules: the public ontologies by their own IRIs, neutral names for the rest; pass others where wanted.
+NAMESPACES = {"bbo": "https://www.irit.fr/recherches/MELODI/ontologies/BBO#", "ext": "urn:process:ext#", "org": "urn:process:org#", "rdfs": RDFS, "layer": "urn:process:layer#"}
 BASE = "urn:process:element/"
 
 

@@ -62,6 +62,19 @@ def question_set_pairs(sets: DataFrame) -> DataFrame:
     return mutant.join(sets.select(F.col("questionSet").alias("original")), "original").select("original", "mutant").distinct()
 
 
+def selected_sets(pairs: DataFrame, mode: str = "orig+mutant") -> DataFrame:
+    """questionSet of pairs(original, mutant): the original ones ("orig"), the mutants, or both; each once."""
+    columns = {"orig": ["original"], "mutant": ["mutant"], "orig+mutant": ["original", "mutant"]}
+    if mode not in columns:
+        raise ValueError(f"mode is one of {', '.join(columns)}")
+    return pairs.select(F.explode(F.array(*columns[mode])).alias("questionSet")).distinct()
+
+
+def listed_values(values: list[str] | None) -> list[str] | None:
+    """Arguments that may hold several values with commas between, as one list; null if nothing is left."""
+    return [v for v in map(str.strip, ",".join(map(str, values or ())).split(",")) if v] or None
+
+
 def paired_means(facts: DataFrame, original: Column, keys: list[str]) -> DataFrame:
     """Means of original and mutant rows side by side, for keys that have both: one pass over the rows."""
     got = facts.groupBy(*keys).agg(F.avg(F.when(original, F.col("value"))).alias("original_mean"), F.avg(F.when(~original, F.col("value"))).alias("mutant_mean"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import terms as T
-from ..operators.closure import closure
+from ..operators.closure import closure, reachable
 from .graph import Graph
 from .syntax import Query, SparqlError, Term, Var, parse
 
@@ -68,6 +68,8 @@ class Rows:
 class Planner:
     def __init__(self, graph: Graph, spark: SparkSession):
         self.graph, self.spark, self.kinds = graph, spark, {}
+        #: Variables bound in every row of the last `solve`.
+        self.certain: set[str] = set()
 
     # --- expressions -------------------------------------------------------------------------------------------
 
@@ -179,7 +181,7 @@ class Planner:
         if isinstance(p, Var):
             df, ends = self.graph.triples(), {"s": s, "p": p, "o": o}
         else:
-            df, ends = self.path(p), {"s": s, "o": o}
+            df, ends = self.path(p, s, o), {"s": s, "o": o}
         names: dict[str, str] = {}
         for c, e in ends.items():
             if isinstance(e, Term):
@@ -190,8 +192,9 @@ class Planner:
                 names[e.name] = c
         return Rows(df.select(*(F.col(c).alias(n) for n, c in names.items())) if names else df.select(F.lit(1).alias("__one")), set(names), set())
 
-    def path(self, p: tuple) -> DataFrame:
-        """Pairs (s, o) of a path. Sequences and alternatives keep duplicates; *, + and ? give sets."""
+    def path(self, p: tuple, start=None, end=None) -> DataFrame:
+        """Pairs (s, o) of a path. Sequences and alternatives keep duplicates; *, + and ? give sets. Of + and * from a
+        constant start, or to a constant end, only what is reached from there is searched for."""
         kind = p[0]
         if kind == "p":
             return self.graph.relation(p[1])
@@ -202,12 +205,24 @@ class Planner:
         if kind == "seq":
             return reduce(lambda a, b: a.withColumnRenamed("o", "__m").join(b.select(F.col("s").alias("__m"), "o"), "__m").select("s", "o"), map(self.path, p[1]))
         inner, sign = self.path(p[1]), p[2]
-        pairs = inner.distinct() if sign == "?" else closure(inner)
+        if sign != "?" and (isinstance(start, Term) or isinstance(end, Term)):
+            pairs = self.reached(inner, start, end)
+        else:
+            pairs = inner.distinct() if sign == "?" else closure(inner)
         if sign == "+":
             return pairs
         same = self.graph.nodes().select(F.col("n").alias("s"), F.col("n").alias("o"))
         return pairs.union(same).distinct()
 
+    def reached(self, edges: DataFrame, start, end) -> DataFrame:
+        """Pairs of the closure of edges that begin at the constant start, else end at the constant end."""
+        forward = isinstance(start, Term)
+        seed = self.spark.createDataFrame([((start if forward else end).text,)], "s string")
+        if forward:
+            return reachable(edges, seed)
+        back = reachable(edges.select(F.col("o").alias("s"), F.col("s").alias("o")), seed)
+        return back.select(F.col("o").alias("s"), F.col("s").alias("o"))
+
     def join(self, a: Rows, b: Rows, how: str = "inner", condition=None) -> Rows:
         """SPARQL join of two frames; how is inner or left. condition(df) -> Column belongs to the join."""
         shared = sorted(a.names & b.names)
@@ -287,7 +302,8 @@ class Planner:
             return self.union([self.evaluate(b) for b in node[1]])
         if kind == "select":
             df, names = self.solve(node[1])
-            return Rows(df, set(), names)
+            sure = self.certain & names
+            return Rows(df, sure, names - sure)
         if kind == "values":
             _, names, rows = node
             df = self.spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
@@ -428,6 +444,10 @@ class Planner:
         """Frame of terms of a SELECT, with its variables' names."""
         rows = self.evaluate(q.where)
         df = rows.df
+        # Bound in every row: sure variables that are projected or grouped by as they are, and counts.
+        certain = {e.name for e, name in q.items or [] if isinstance(e, Var) and e.name == name and e.name in rows.sure}
+        certain |= {name for e, name in q.items or [] if isinstance(e, tuple) and e[0] == "agg" and e[1] == "COUNT"}
+        certain |= rows.sure if not q.items else set()
         items = list(q.items) or [(Var(n), n) for n in sorted(rows.names) if not n.startswith("__")]
         found: list[tuple] = []
         for e in [*(e for e, _ in items), *q.having, *(e for e, _ in q.order)]:
@@ -470,6 +490,7 @@ class Planner:
             df = df.offset(q.offset)
         if q.limit is not None:
             df = df.limit(q.limit)
+        self.certain = certain & set(out)
         return df.select(*(F.col(f"`{n}`") for n in out)), set(out)
 
     @staticmethod
