@@ -13,7 +13,7 @@ USAGE = "struct<inputTokens: bigint, outputTokens: bigint, totalTokens: bigint>"
 EVENT = f"struct<seq: int, kind: string, callId: string, node: string, toolCallId: string, parentCallId: string, toolName: string, durationMs: bigint, status: string, output: string, tokenUsage: {USAGE}, request: struct<query: string, answer: string, event: string, status: string, rowCount: bigint, decision: string, reason: string, confidence: double>, resultSummary: struct<type: string, rowsFullCount: bigint, `boolean`: boolean, empty: boolean, errorType: string>, error: struct<code: string, message: string>>"
 TRACE = f"top struct<schemaVersion: string, runMetaRelPath: string>, meta struct<questionId: string, question: string, durationMs: bigint, status: string, finalAnswer: string, error: struct<code: string, message: string>, tokenUsage: {USAGE}>, conversation struct<traceVersion: string, events: array<{EVENT}>>"
 RUN = f"schemaVersion string, runId string, durationMs bigint, inputs struct<questionsFile: string, questionsCount: int, endpointUrl: string, systemPromptName: string>, llm struct<model: string, temperature: double, maxSteps: int>, counts struct<ok: int, error: int, timeout: int>, tokenUsage {USAGE}"
-METRIC_ROW = "questionId string, metric string, scoredAt string, value string, status string, error string"
+METRIC_ROW = "questionId string, metric string, scoredAt string, value variant, status string, error string"
 MANIFEST = "evalId string, runId string, inputs struct<datasetName: string, datasetKind: string, questionSetId: string, modelName: string>, finishedAt string"
 CATEGORY = "array<struct<name: string, displayName: string, questions: array<string>>>"
 
@@ -76,7 +76,8 @@ def metric_rows(spark: SparkSession, path: str) -> DataFrame:
     got = spark.read.schema(METRIC_ROW).option("mode", "FAILFAST").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").json(path)
     file = F.col("_metadata.file_path")
     named = F.coalesce(F.get_json_object("metric", "$.name"), F.col("metric"), F.regexp_extract(file, r"([^/]+)\.jsonl$", 1))
-    value = F.when(F.col("value").rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), F.col("value").cast("double"))
+    # The JSON type counts: a text that looks like a number is none.
+    value = F.when(F.schema_of_variant("value").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("value", "$", "double"))
     return got.where(F.col("questionId").isNotNull()).select(F.regexp_extract(file, r"/evaluations/([^/]+)/", 1).alias("evalId"), F.regexp_extract(file, r"/runs/([^/]+)/", 1).alias("runDir"), "questionId", named.alias("metric"), value.alias("value"), F.coalesce("status", F.lit("UNKNOWN")).alias("status"))
 
 
@@ -105,7 +106,7 @@ def keyword_module(text: str) -> list:
 def expected_uris(spark: SparkSession, path: str) -> DataFrame:
     """question_id, uris: texts trimmed, empty ones dropped, the last entry of a question wins."""
     got = spark.read.schema("questions array<struct<questionId: string, model_element_uris: array<string>>>").json(path, multiLine=True)
-    rows = got.select(F.posexplode("questions").alias("n", "q")).select("n", "q.questionId", F.filter(F.transform("q.model_element_uris", F.trim), lambda u: u != "").alias("uris"))
+    rows = got.select(F.posexplode("questions").alias("n", "q")).select("n", "q.questionId", F.filter(F.transform("q.model_element_uris", lambda u: F.trim(u)), lambda u: u != "").alias("uris"))
     return rows.groupBy(F.col("questionId").alias("question_id")).agg(F.max_by("uris", "n").alias("uris"))
 
 
@@ -119,13 +120,15 @@ def dictionary(spark: SparkSession, path: str, key: str, last_wins: bool = True)
     return numbered.groupBy(key).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in other)), "__n").alias("__v")).select(F.col(f"`{key}`"), *(F.col(f"__v.`{c}`") for c in other))
 
 
-def id_mapping(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
-    """key (lower case), value of a CSV; both columns must be there and a key may have one value only."""
+def id_mapping(spark: SparkSession, path: str, key: str, value: str, ending: str = ".bpmn") -> DataFrame:
+    """key (lower case), value (without a file ending, in any case) of a CSV; both columns must be there, rows with an empty
+    key or value are skipped, and a key may have one value only."""
     got = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    names = {c.lstrip("﻿").strip(): c for c in got.columns}
+    names = {c.lstrip("\ufeff").strip(): c for c in got.columns}
     if missing := {key, value} - names.keys():
         raise ValueError(f"{path} lacks the columns {sorted(missing)}")
-    rows = got.select(F.lower(F.trim(F.col(f"`{names[key]}`"))).alias("key"), F.trim(F.col(f"`{names[value]}`")).alias("value")).where("key != ''").distinct()
+    cleaned = F.regexp_replace(F.trim(F.col(f"`{names[value]}`")), f"(?i){re.escape(ending)}$", "")
+    rows = got.where(F.trim(F.col(f"`{names[value]}`")) != "").select(F.lower(F.trim(F.col(f"`{names[key]}`"))).alias("key"), cleaned.alias("value")).where("key != ''").distinct()
     if clash := rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").first():
         raise ValueError(f"{clash['key']} has more than one value")
     return rows
@@ -175,6 +178,40 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).csv(path, header=True, escape='"', nullValue="", emptyValue="")
 
 
+def header_union(*frames: DataFrame) -> DataFrame:
+    """Rows of all frames under the columns of all, in the order in which they first come up; missing cells are null."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def write_record(spark: SparkSession, record: dict, path: str) -> None:
+    """One JSON document, indented by two spaces, written over what is there: a run's record, a manifest, a pointer to the
+    latest evaluation. The path may be in any store that Spark writes to."""
+    fs, place = _place(spark, path)
+    out = fs.create(place, True)
+    try:
+        out.write(bytearray((json.dumps(record, indent=2, ensure_ascii=False) + "\n").encode()))
+    finally:
+        out.close()
+
+
+def unique_folder(spark: SparkSession, path: str) -> str:
+    """Make the folder, or, if it is there, the first of path__r01 to path__r99 that is not; raises if all are."""
+    for name in (path, *(f"{path}__r{k:02d}" for k in range(1, 100))):
+        fs, place = _place(spark, name)
+        if not fs.exists(place):
+            fs.mkdirs(place)
+            return name
+    raise ValueError(f"{path} and all its numbered folders are there")
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     """One folder a metric."""
     df.write.mode("append").partitionBy("metric").json(path)
