@@ -9,7 +9,7 @@ from lattica.llm import licenses
 
 def test_wrapped_notices(spark):
     prose = lambda k: " ".join(f"v{k}x{j}" for j in range(400))
-    names = ["Apache-2.0-notice", "MIT-license", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0-notice", "MPL-2.0", "ISC"]
+    names = ["Apache-2.0-notice", "MIT-license", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0-notice", "MPL-2.0", "ISC", "AGPL-3.0-notice", "LGPL-2.1-notice", "EPL-2.0", "Unlicense", "CC0-1.0"]
     rows = [(k, f"{prose(k)}\n# " + "\n# ".join(textwrap.wrap(licenses.TEMPLATES[n], 75)) + f"\n{prose(-k)}") for k, n in enumerate(names)]
     rows += [(90, f"{prose(1)} {licenses.TEMPLATES['MIT']} {prose(2)}"), (91, prose(3)), (92, "permission notice " * 9000)]
     got = {r["doc_id"]: (r["license"], r["line"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
