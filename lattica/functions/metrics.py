@@ -151,32 +151,41 @@ def sentences(text: str) -> list[list[str]]:
     return [w for s in re.split(SENTENCE_END, text) if (w := re.findall(WORD, s))]
 
 
-def lcs_positions(reference: list[str], candidate: list[str]) -> set[int]:
-    """Places in reference of a longest common subsequence; on a tie the walk back moves up the reference.
+def lcs_union(reference: np.ndarray, candidates: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which places of reference (numbers of words) are on a longest common subsequence with any of the candidates (a row
+    each of words' numbers, -1 after its size); on a tie the walk back moves up the reference.
 
-    A row of lengths is the running maximum of the row above and of what its matches extend. In each row the walk stands
-    at the last place up to where it was that matches or that the row above is as long at; all these are found at once.
+    A row of lengths is the running maximum of the row above and of what its matches extend, for all candidates at once. In
+    each row the walk stands at the last place up to where it was that matches or that the row above is as long at.
     """
-    words = {w: k for k, w in enumerate({*reference, *candidate})}
-    of, others = np.array([words[w] for w in reference]), np.array([words[w] for w in candidate])
-    length, stops, matches = np.zeros(len(candidate) + 1, dtype=np.int32), [], []
-    places = np.arange(1, len(candidate) + 1)
-    for w in of:
-        match = others == w
-        row = np.maximum.accumulate(np.maximum(length[1:], np.where(match, length[:-1] + 1, 0)))
-        before = np.concatenate([[0], row[:-1]])
-        stops.append(np.concatenate([[0], np.maximum.accumulate(np.where(match | (length[1:] >= before), places, 0))]))
+    k, m = candidates.shape
+    length, stops, matches = np.zeros((k, m + 1), dtype=np.int32), [], []
+    places, each = np.arange(1, m + 1), np.arange(k)
+    for w in reference:
+        match = candidates == w
+        row = np.zeros((k, m + 1), dtype=np.int32)
+        np.maximum.accumulate(np.maximum(length[:, 1:], np.where(match, length[:, :-1] + 1, 0)), axis=1, out=row[:, 1:])
+        stop = np.zeros((k, m + 1), dtype=np.int64)
+        np.maximum.accumulate(np.where(match | (length[:, 1:] >= row[:, :-1]), places, 0), axis=1, out=stop[:, 1:])
+        stops.append(stop)
         matches.append(match)
-        length = np.concatenate([[0], row])
-    out, at = set(), len(candidate)
-    for k in range(len(reference) - 1, -1, -1):
-        at = int(stops[k][at])
-        if not at:
-            break
-        if matches[k][at - 1]:
-            out.add(k)
-            at -= 1
-    return out
+        length = row
+    hit, at = np.zeros(len(reference), dtype=bool), np.asarray(sizes, dtype=np.int64).copy()
+    for j in range(len(reference) - 1, -1, -1):
+        at = stops[j][each, at]
+        taken = (at > 0) & matches[j][each, at - 1]
+        hit[j] = taken.any()
+        at = at - taken
+    return hit
+
+
+def lcs_positions(reference: list[str], candidate: list[str]) -> set[int]:
+    """Places in reference of a longest common subsequence with one candidate."""
+    if not reference or not candidate:
+        return set()
+    number = {w: k for k, w in enumerate({*reference, *candidate})}
+    hit = lcs_union(np.array([number[w] for w in reference]), np.array([[number[w] for w in candidate]]), np.array([len(candidate)]))
+    return set(np.flatnonzero(hit).tolist())
 
 
 def rouge_l_value(got: str, expected: str) -> float:
@@ -185,7 +194,13 @@ def rouge_l_value(got: str, expected: str) -> float:
     n, m = sum(map(len, cand)), sum(map(len, ref))
     if not n or not m:
         return 0.0
-    hit = sum(len(set().union(*(lcs_positions(r, c) for c in cand))) for r in ref)
+    number: dict[str, int] = {}
+    for w in (w for s in (*cand, *ref) for w in s):
+        number.setdefault(w, len(number))
+    sizes = np.array([len(c) for c in cand])
+    words = np.full((len(cand), sizes.max()), -1)
+    words[np.arange(sizes.max()) < sizes[:, None]] = [number[w] for c in cand for w in c]
+    hit = sum(int(lcs_union(np.array([number[w] for w in r]), words, sizes).sum()) for r in ref)
     p, r = hit / n, hit / m
     return 2 * p * r / (p + r) if p > 0 and r > 0 else 0.0
 

@@ -133,6 +133,11 @@ def test_subsequences_and_grams_by_definition():
     for _ in range(300):
         a, b = ([rng.choice("abcd") for _ in range(rng.randrange(9))] for _ in "xy")
         assert M.lcs_positions(a, b) == walked(tuple(a), tuple(b))
+        many = [[rng.choice("abcd") for _ in range(rng.randrange(1, 9))] for _ in range(3)]
+        want = len(set().union(*(walked(tuple(a), tuple(c)) for c in many)))
+        text = ". ".join(map(" ".join, many))
+        p, r = want / sum(map(len, many)), want / max(len(a), 1)
+        assert M.rouge_l_value(text, " ".join(a)) == pytest.approx(2 * p * r / (p + r) if p + r else 0.0)
     pairs = [("".join(rng.choices("ab é\n", k=rng.randrange(14))), "".join(rng.choices("ab é\n", k=rng.randrange(14)))) for _ in range(200)]
 
     def slow(got, expected):
