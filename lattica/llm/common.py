@@ -15,13 +15,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 #: A word, by the contract of every operator here: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one rank bucket; a bucket is sorted by one task, so this bounds a task whatever the key's share is.
 BUCKET_ROWS = 2_000
-#: A side is broadcast only if it was counted and has at most this many narrow rows.
+#: A side is broadcast only if it was counted and measured, and has at most so many rows and so many bytes of values.
 BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
 #: Rows and bytes of an Arrow batch in written steps, at most: texts are long, and JVM and worker hold a batch several
 #: times over.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
@@ -108,16 +110,40 @@ def without(docs: Numbered, gone: DataFrame) -> DataFrame:
 def salted(big: DataFrame, other: DataFrame, key: str | list[str], by: str, salts: int = 16) -> DataFrame:
     """big joined to other on `key`, which is unique in other: broadcast if a count allows, else each row of other goes
     to `salts` places and big's rows of a key are dealt to these by their column `by`: no key is one task's."""
-    if other.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if fits(other):
         return big.join(F.broadcast(other), key)
     dealt = big.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)))
     spread = other.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return dealt.join(spread, [*([key] if isinstance(key, str) else key), "__salt"]).drop("__salt")
 
 
+def width(value: Column, kind: DataType) -> Column:
+    """Bytes of a value: 8 of numbers and the like, the own length of strings, bytes and arrays, and of all that they hold."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 8
+    if isinstance(kind, StructType):
+        return sum((width(value[f.name], f.dataType) for f in kind), F.lit(0))
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, StructType, ArrayType, MapType)):
+            held = F.aggregate(value, F.lit(0).cast("long"), lambda s, v: s + width(v, kind.elementType).cast("long"))
+        else:
+            held = 8 * F.size(value)
+        return F.coalesce(F.greatest(held, F.lit(0)), F.lit(0)) + 8
+    if isinstance(kind, MapType):
+        return width(F.map_keys(value), ArrayType(kind.keyType)) + width(F.map_values(value), ArrayType(kind.valueType))
+    return F.lit(8)
+
+
+def fits(df: DataFrame, most: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most `most` rows and `size` bytes of values, by one pass that stops at `most` rows."""
+    held = sum((width(df[f"`{f.name}`"], f.dataType) for f in df.schema), F.lit(0)).cast("long").alias("held")
+    got = df.select(held).limit(most + 1).agg(F.count("*").alias("n"), F.sum("held").alias("held")).first()
+    return got["n"] <= most and (got["held"] or 0) <= size
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows that it has at most `most` rows, else df: the join then shuffles."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """df with a broadcast hint if its rows and bytes are counted to fit, else df: the join then shuffles."""
+    return F.broadcast(df) if fits(df, most) else df
 
 
 def give_back() -> None:
