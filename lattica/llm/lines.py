@@ -1,4 +1,9 @@
-"""Quality rules with cross-document line frequency."""
+"""Quality rules with cross-document line frequency.
+
+What a host repeats on its pages is boilerplate; what the near copies of one text share is not, though both are lines of many
+documents. Where a later step thins out near copies, `copies=False` tells them apart: only documents with content of their
+own beside the lines that many share then count.
+"""
 
 from __future__ import annotations
 
@@ -84,7 +89,7 @@ def profiles(docs: DataFrame | common.Numbered) -> DataFrame:
     return given.mapInArrow(lambda batches: common.released(run(batches)), "item long, doc_id long, host string, body long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>")
 
 
-def judge(docs: DataFrame | common.Numbered, line_documents: int = LINE_DOCUMENTS, kept_share: float = KEPT_SHARE, least_words: int = LEAST_WORDS) -> DataFrame:
+def judge(docs: DataFrame | common.Numbered, line_documents: int = LINE_DOCUMENTS, kept_share: float = KEPT_SHARE, least_words: int = LEAST_WORDS, copies: bool = True) -> DataFrame:
     """Judge docs(doc_id, text, source); the source stands for the host. Returns item, doc_id, base figures, base_failed,
     removed_words and kept, for each row.
 
@@ -92,13 +97,16 @@ def judge(docs: DataFrame | common.Numbered, line_documents: int = LINE_DOCUMENT
     boilerplate. A line (lower case, single spaces) found in more than line_documents distinct documents of its host is
     removed. A document left with less than kept_share of its words, or with fewer than least_words, is depleted and
     rejected, and so is one whose base figures fail (fewer than 50 words, or over half its words in repeated 3-word
-    windows). Null text is empty text; a null source is a host; repeated rows are judged each; an empty table gives no
-    rows; other columns are ignored, whatever their names.
+    windows). Without `copies` a document that these lines would leave with less than kept_share of its words has no content
+    of its own and does not count: lines are counted again without such documents, so near copies of a good text, however
+    many, do not make its lines boilerplate. Lines that enough other documents have are removed from it all the same. Null
+    text is empty text; a null source is a host; repeated rows are judged each; an empty table gives no rows; other columns
+    are ignored, whatever their names.
     """
-    return judged(docs, line_documents, kept_share, least_words)[0]
+    return judged(docs, line_documents, kept_share, least_words, copies)[0]
 
 
-def judged(docs: DataFrame | common.Numbered, line_documents: int, kept_share: float, least_words: int) -> tuple[DataFrame, DataFrame]:
+def judged(docs: DataFrame | common.Numbered, line_documents: int, kept_share: float, least_words: int, copies: bool) -> tuple[DataFrame, DataFrame]:
     """What judge returns, and item, line (hash) of each removed line of each row."""
     seen = common.keep(profiles(docs), "lines")
     host = F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("host")
@@ -108,6 +116,13 @@ def judged(docs: DataFrame | common.Numbered, line_documents: int, kept_share: f
     often = common.keep(counted.where(F.col("n") > line_documents).select("host", "line"), "often")
     # A common line of a large host has many rows: broadcast, or salted.
     gone = common.salted(listed, often, ["host", "line"], "item")
+    if not copies:
+        gone = common.keep(gone, "shared")
+        words = gone.groupBy("item").agg(F.sum("words").alias("words"))
+        bare = seen.join(words, "item").where(F.col("n_words") - F.col("words") < kept_share * F.col("n_words")).select("item")
+        count = gone.join(first.select("item"), "item", "left_semi").join(common.small(common.keep(bare, "bare")), "item", "left_anti")
+        often = count.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_documents).select("host", "line")
+        gone = common.salted(gone, common.keep(often, "often"), ["host", "line"], "item")
     removed = gone.groupBy("item").agg(F.sum("words").alias("removed"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = seen.drop("lines", "line_words", "body", "host").join(removed, "item", "left").withColumn("removed_words", common.whole_number(F.col("removed"))).drop("removed")
@@ -116,10 +131,10 @@ def judged(docs: DataFrame | common.Numbered, line_documents: int, kept_share: f
     return out, gone.select("item", "line")
 
 
-def cleaned(docs: common.Numbered, line_documents: int = LINE_DOCUMENTS, kept_share: float = KEPT_SHARE, least_words: int = LEAST_WORDS) -> DataFrame:
+def cleaned(docs: common.Numbered, line_documents: int = LINE_DOCUMENTS, kept_share: float = KEPT_SHARE, least_words: int = LEAST_WORDS, copies: bool = True) -> DataFrame:
     """The kept rows of docs, with docs' own columns: text without the removed lines, and n_chars, if docs has it, of the
     text that is left. Other rows' texts are not touched."""
-    verdict, gone = judged(docs, line_documents, kept_share, least_words)
+    verdict, gone = judged(docs, line_documents, kept_share, least_words, copies)
     verdict = common.keep(verdict.where(~F.col("kept") | (F.col("removed_words") > 0)).select("item", "kept"), "verdict")
     rows = common.without(docs, verdict)
     cut = verdict.where("kept").select("item")
