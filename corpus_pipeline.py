@@ -15,9 +15,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the rules keep, their text less the lines that the rules remove, n_chars counted anew.
 
     Null and empty texts have no words and go; a null source is a host; of repeated rows each is judged; an empty table
-    gives none; further columns stay as they are.
+    gives none; further columns stay as they are. Near copies are left to their own stage: documents that are all but made
+    of lines that many share do not count for these.
     """
-    return lines.cleaned(common.numbered(docs))
+    return lines.cleaned(common.numbered(docs), copies=False)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
