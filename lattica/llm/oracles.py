@@ -11,6 +11,12 @@ from . import lines, mixing
 _WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = r"[\x20\x09-\x0D]"
 
+
+
+def _encoded(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
 LINE_FREQUENCY = rf"""
 with d as (
   select row_number() over () as item, doc_id, source, text as body, coalesce(text, '') as t from documents
@@ -99,4 +105,52 @@ with d as (
 select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from queued left join mixed using (item)
 """
 
-ORACLES = {"op5_fair_mix": FAIR_MIX, "op8_line_frequency": LINE_FREQUENCY, "op9_tile_search": TILE_SEARCH}
+MERKLE_MANIFEST = f"""
+with recursive fields as (
+  select row_number() over () as item, doc_id, source, lang, n_chars, text,
+    list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda crc, x: case when x >= 0 then xor(crc, x) else xor(crc >> 1, case when crc & 1 = 1 then 3988292384 else 0 end) end) as crc
+  from documents
+), heads as (
+  select *, {_encoded('doc_id::varchar')} || {_encoded('source')} || {_encoded('lang')} || {_encoded('n_chars::varchar')} as head,
+    case when xor(crc, 4294967295) % 5 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as altered
+  from fields
+), hashed as (
+  select item, doc_id, source, sha256(head || {_encoded('text')}) as leaf, sha256(head || {_encoded('altered')}) as read from heads
+), leaves as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf, item) - 1 as place, count(*) over (partition by source) as n from hashed
+), nodes as (
+  select source, 0 as level, place, leaf as node, n from leaves
+  union all
+  select source, level + 1, place // 16, sha256(string_agg(node, '' order by place)), (n + 15) // 16 from nodes where n > 1 group by source, level, place // 16, n
+), subroots as (
+  select source, node as subroot, level as levels, row_number() over (order by source nulls first) - 1 as place, count(*) over () as n from nodes where n = 1
+), tops as (
+  select 0 as level, place, subroot as node, n from subroots
+  union all
+  select level + 1, place // 16, sha256(string_agg(node, '' order by place)), (n + 15) // 16 from tops where n > 1 group by level, place // 16, n
+), node_steps as (
+  select a.source, a.level, a.place, string_agg(b.node, '' order by b.place) filter (b.place < a.place) as l, string_agg(b.node, '' order by b.place) filter (b.place > a.place) as r
+  from nodes a join nodes b on a.source is not distinct from b.source and a.level = b.level and a.place // 16 = b.place // 16 where a.n > 1 group by a.source, a.level, a.place
+), top_steps as (
+  select a.level, a.place, string_agg(b.node, '' order by b.place) filter (b.place < a.place) as l, string_agg(b.node, '' order by b.place) filter (b.place > a.place) as r
+  from tops a join tops b on a.level = b.level and a.place // 16 = b.place // 16 where a.n > 1 group by a.level, a.place
+), steps as (
+  select item, s.level as step, coalesce(l, '') as l, coalesce(r, '') as r
+  from leaves join node_steps s on leaves.source is not distinct from s.source and s.place = leaves.place // (16 ** s.level)::bigint
+  union all
+  select item, levels + t.level, coalesce(l, ''), coalesce(r, '')
+  from leaves join subroots u on leaves.source is not distinct from u.source join top_steps t on t.place = u.place // (16 ** t.level)::bigint
+), folds as (
+  select item, 0 as step, read as node from leaves
+  union all
+  select item, folds.step + 1, sha256(l || node || r) from folds join steps using (item, step)
+), proofs as (
+  select item, sha256(string_agg(l || r, '' order by step)) as proof_sha256 from steps group by item
+)
+select doc_id, leaf, subroot, tops.node as root, coalesce(proof_sha256, sha256('')) as proof_sha256, f.node as folded_root, f.node = tops.node as verified
+from leaves join subroots on leaves.source is not distinct from subroots.source join tops on tops.n = 1 left join proofs using (item)
+join (select item, arg_max(node, step) as node from folds group by item) f using (item)
+"""
+
+ORACLES = {"op5_fair_mix": FAIR_MIX, "op8_line_frequency": LINE_FREQUENCY, "op9_tile_search": TILE_SEARCH, "op13_merkle_manifest": MERKLE_MANIFEST}

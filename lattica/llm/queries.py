@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, lines, mixing, nearest, ngram, packing, sharding, simhash, urls
+from . import licenses, lines, manifest, mixing, nearest, ngram, packing, sharding, simhash, urls
 from .common import table, text_of
 from .oracles import ORACLES
 
@@ -59,7 +59,11 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_matrices, op2_ngram_quality, op3_exact_shards, op4_vector_packing, op5_fair_mix, op6_license_scan, op7_pivot_simhash, op8_line_frequency, op9_tile_search, op10_url_rules)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"), manifest.lowered_fifth()).drop("source")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_matrices, op2_ngram_quality, op3_exact_shards, op4_vector_packing, op5_fair_mix, op6_license_scan, op7_pivot_simhash, op8_line_frequency, op9_tile_search, op10_url_rules, op13_merkle_manifest)}
 
 
 def oracles() -> dict[str, str]:

@@ -37,12 +37,13 @@ def odd(spark, tmp_path_factory):
     body = lambda k: " ".join(f"u{k}x{j}" for j in range(50 + k))
     docs = [(k, "Menu  home Login\n" * (k % 3) + body(k), "en", "c") for k in range(60)] + [(90, body(1), "en", "a")] * 3
     docs += [(91, " é# b c | é# b c |", "en", "b"), (92, None, "en", None), (None, "", None, None), (None, "a a a a", "en", "b"), (93, None, "en", "c"), (94, "x\ny\nx\n \nx " * 30, "en", None)]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    docs = [(*d, None if k % 9 == 0 else k) for k, d in enumerate(docs)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     vectors = [(k, [float(k % 7), 1.0, float(k % 3) / 7]) for k in range(120)] + [(200, None), (300, [0.0] * 3), (400, [float("nan"), 1.0, 1.0]), (500, [None, 1.0, 2.0]), (600, [float("inf"), 1.0, 1.0]), (700, [])]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
-@pytest.mark.parametrize("name", ["op5_fair_mix", "op8_line_frequency", "op9_tile_search"])
+@pytest.mark.parametrize("name", ["op5_fair_mix", "op8_line_frequency", "op9_tile_search", "op13_merkle_manifest"])
 def test_odd_rows(spark, odd, name):
     compare(spark, name, odd)
