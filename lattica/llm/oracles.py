@@ -105,6 +105,31 @@ with d as (
 select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from queued left join mixed using (item)
 """
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_TERMS = f"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')"
+
+BUCKET_SEARCH = f"""
+with d as (
+  select row_number() over () as doc, doc_id, {_TERMS} as ws from documents
+), held as (
+  select doc, doc_id, len(ws) as n, ws from d where len(ws) > 0
+), totals as (
+  select count(*)::bigint as docs, sum(n)::bigint as terms from held
+), postings as (
+  select doc, term, count(*)::bigint as tf from (select doc, unnest(ws) as term from held) group by doc, term
+), weights as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from postings, totals group by term, docs
+), asked as (
+  select item, item_id, term, count(*)::bigint as q
+  from (select item, item_id, unnest(ws) as term from (select row_number() over () as item, item_id, {_TERMS} as ws from benchmark)) group by item, item_id, term
+), scored as (
+  select item, item_id, doc_id, doc, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms))))::bigint as score
+  from asked join weights using (term) join postings using (term) join held using (doc), totals group by item, item_id, doc_id, doc
+)
+select item_id, row_number() over (partition by item order by score desc, doc_id nulls last, doc)::int as rank, doc_id, score
+from scored where score > 0 qualify rank <= 10
+"""
+
 MERKLE_MANIFEST = f"""
 with recursive fields as (
   select row_number() over () as item, doc_id, source, lang, n_chars, text,
@@ -153,4 +178,4 @@ from leaves join subroots on leaves.source is not distinct from subroots.source
 join (select item, arg_max(node, step) as node from folds group by item) f using (item)
 """
 
-ORACLES = {"op5_fair_mix": FAIR_MIX, "op8_line_frequency": LINE_FREQUENCY, "op9_tile_search": TILE_SEARCH, "op13_merkle_manifest": MERKLE_MANIFEST}
+ORACLES = {"op5_fair_mix": FAIR_MIX, "op8_line_frequency": LINE_FREQUENCY, "op9_tile_search": TILE_SEARCH, "op12_bucket_search": BUCKET_SEARCH, "op13_merkle_manifest": MERKLE_MANIFEST}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counts, licenses, lines, manifest, mixing, nearest, ngram, packing, sharding, simhash, urls
+from . import counts, lexical, licenses, lines, manifest, mixing, nearest, ngram, packing, sharding, simhash, urls
 from .common import table, text_of
 from .oracles import ORACLES
 
@@ -63,11 +63,15 @@ def op11_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), 512)
 
 
+def op12_bucket_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"), manifest.lowered_fifth()).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_matrices, op2_ngram_quality, op3_exact_shards, op4_vector_packing, op5_fair_mix, op6_license_scan, op7_pivot_simhash, op8_line_frequency, op9_tile_search, op10_url_rules, op11_heap_token_counts, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_token_matrices, op2_ngram_quality, op3_exact_shards, op4_vector_packing, op5_fair_mix, op6_license_scan, op7_pivot_simhash, op8_line_frequency, op9_tile_search, op10_url_rules, op11_heap_token_counts, op12_bucket_search, op13_merkle_manifest)}
 
 
 def oracles() -> dict[str, str]:

@@ -41,9 +41,11 @@ def odd(spark, tmp_path_factory):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     vectors = [(k, [float(k % 7), 1.0, float(k % 3) / 7]) for k in range(120)] + [(200, None), (300, [0.0] * 3), (400, [float("nan"), 1.0, 1.0]), (500, [None, 1.0, 2.0]), (600, [float("inf"), 1.0, 1.0]), (700, [])]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    items = [(1, "menu LOGIN home u3x1 a a"), (1, "É# c |"), (2, None), (3, ""), (None, "b-c x"), (4, "nowhere")] + [(k, body(k % 9) + " x y") for k in range(10, 40)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return folder
 
 
-@pytest.mark.parametrize("name", ["op5_fair_mix", "op8_line_frequency", "op9_tile_search", "op13_merkle_manifest"])
+@pytest.mark.parametrize("name", ["op5_fair_mix", "op8_line_frequency", "op9_tile_search", "op12_bucket_search", "op13_merkle_manifest"])
 def test_odd_rows(spark, odd, name):
     compare(spark, name, odd)
