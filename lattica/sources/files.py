@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .turtle import read_turtle as parsed_turtle  # noqa: F401
+
 USAGE = "struct<inputTokens: bigint, outputTokens: bigint, totalTokens: bigint>"
 EVENT = f"struct<seq: int, kind: string, callId: string, node: string, toolCallId: string, parentCallId: string, toolName: string, durationMs: bigint, status: string, output: string, tokenUsage: {USAGE}, request: struct<query: string, answer: string, event: string, status: string, rowCount: bigint, decision: string, reason: string, confidence: double>, resultSummary: struct<type: string, rowsFullCount: bigint, `boolean`: boolean, empty: boolean, errorType: string>, error: struct<code: string, message: string>>"
 TRACE = f"top struct<schemaVersion: string, runMetaRelPath: string>, meta struct<questionId: string, question: string, durationMs: bigint, status: string, finalAnswer: string, error: struct<code: string, message: string>, tokenUsage: {USAGE}>, conversation struct<traceVersion: string, events: array<{EVENT}>>"
@@ -239,40 +240,3 @@ def flattened_bindings(results: DataFrame) -> DataFrame:
     names = results.select("head.vars").first()[0]
     rows = results.select(F.explode("results.bindings").alias("b"))
     return rows.select(*(F.coalesce(F.col("b")[n]["value"], F.lit("")).alias(n) for n in names))
-
-
-def parsed_turtle(spark: SparkSession, path: str) -> DataFrame:
-    """s, p, o, model of Turtle or N-Triples files: prefixes, ;, comma lists, a, typed and tagged literals, blanks.
-
-    A file is one row, parsed in a worker; model is the file's stem. A file that does not parse gives one row with the
-    error instead: s, p and o null.
-    """
-    from ..plans.syntax import Parser, Term, Var
-
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for batch in batches:
-            out = []
-            for file, text in zip(batch["file"], batch["value"]):
-                model = re.sub(r"\.[^.]*$", "", file.rsplit("/", 1)[-1])
-                try:
-                    text = re.sub(r"(?m)^\s*@(prefix|base)\s+([^\n]*?)\s*\.\s*$", lambda m: f"{m[1].upper()} {m[2]}", text)
-                    parser, parts = Parser(text), []
-                    while parser.peek()[0] != "end":
-                        if parser.has("PREFIX", "BASE"):
-                            if parser.take().upper() == "BASE":
-                                parser.base = parser.take()[1:-1]
-                            else:
-                                name = parser.take()[:-1]
-                                parser.prefixes[name] = parser.resolve(parser.take())
-                        elif not parser.accept("."):
-                            parser.triples(parts)
-                    term = lambda x: x.text if isinstance(x, Term) else f"_:{model}.{x.name}" if isinstance(x, Var) else x[1]
-                    out += [(term(s), term(p), term(o), model, None) for _, s, p, o in parts]
-                except ValueError as e:
-                    out.append((None, None, None, model, str(e)))
-            yield pd.DataFrame(out, columns=["s", "p", "o", "model", "error"])
-
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.mapInPandas(run, "s string, p string, o string, model string, error string")
