@@ -420,10 +420,11 @@ def directives(chunks: DataFrame) -> DataFrame:
     return found.groupBy("file").agg(F.array_sort(F.collect_list(F.struct(F.struct("block", "kind", "part").alias("place"), "n", "word", "name", "iri"))).alias("held"))
 
 
-def read_turtle(spark: SparkSession, path: str) -> DataFrame:
+def read_turtle(spark: SparkSession, path: str, scope: str | None = None) -> DataFrame:
     """s, p, o, model, error of Turtle or N-Triples files: the whole grammar, files split over tasks.
 
-    model is the file's stem; blank nodes are named by it, so those of different files differ. A file with a statement that
+    model is the file's stem; blank nodes are named by it, so those of different files differ, or by `scope` if they are the
+    same in all files. A file with a statement that
     is not Turtle gives one row with the first error instead: s, p and o null. An empty file gives none.
     """
     chunks = written(statement_chunks(read_lines(spark, path)), "turtle-chunks")
@@ -435,13 +436,13 @@ def read_turtle(spark: SparkSession, path: str) -> DataFrame:
             for file, place, text, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 model = re.sub(r"\.[^.]*$", "", file.rsplit("/", 1)[-1])
                 at = f"{place['block']:020d}.{place['kind']}.{place['part']:09d}"
-                scope = f"b{place['block']}-{place['kind']}-{place['part']}"
-                parser = Parser(model)
+                own = f"{model if scope else 'b'}-{place['block']}-{place['kind']}-{place['part']}"
+                parser = Parser(scope or model)
                 try:
                     for d in held or []:
                         if tuple(d["place"].values()) < tuple(place.values()):
                             parser.hold(d["word"], d["name"], parser.iri("iri", d["iri"])[1:-1])
-                    rows = [(file, s, p, o, model, at, None) for s, p, o, _ in parser.load(text, scope).parse()]
+                    rows = [(file, s, p, o, model, at, None) for s, p, o, _ in parser.load(text, own).parse()]
                 except (TurtleError, RecursionError) as e:
                     rows = [(file, None, None, None, model, at, str(e))]
                 for k in range(0, len(rows), 50_000):
