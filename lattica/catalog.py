@@ -70,7 +70,7 @@ def _suffix(spark: SparkSession, d: str) -> DataFrame:
     """Equal nation, and one supplier's IRI ends in the other's id: the id is a relation of its own, as in the models."""
     g = star_graph(spark, d)
     own = read(spark, d, "supplier").select(F.concat(F.lit(f"<{NS}supplier/"), F.col("s_suppkey").cast("string"), F.lit(">")).alias("s"), T.literal(F.col("s_suppkey").cast("string")).alias("o"))
-    g = Graph(g.relations | {f"<{NS}id>": own})
+    g = Graph({f"<{NS}id>": own}, tables=g.tables)
     return sparql(g, "SELECT ?a ?b WHERE { ?a :base ?n . ?b :base ?n ; :id ?ref . FILTER(?a != ?b && STRENDS(STR(?a), ?ref)) }", spark, PREFIXES)
 
 
@@ -117,7 +117,7 @@ def kg_path_star(spark: SparkSession, d: str) -> DataFrame:
 def eav(spark: SparkSession, d: str) -> DataFrame:
     g = star_graph(spark, d)
     keep = [f"<{NS}{p}>" for p in ("name", "region", "nation", "base", "segment")] + [f"<{T.RDF}type>"]
-    return Graph({p: g.relations[p] for p in keep}).triples()
+    return g.only(keep).triples()
 
 
 @query("SELECT p, n FROM (SELECT '<urn:x:name>' AS p, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n UNION ALL SELECT '<urn:x:region>', (SELECT count(*) FROM nation) UNION ALL SELECT '<urn:x:nation>', (SELECT count(*) FROM customer) UNION ALL SELECT '<urn:x:base>', (SELECT count(*) FROM supplier) UNION ALL SELECT '<urn:x:segment>', (SELECT count(*) FROM customer) UNION ALL SELECT '<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>', (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier))")

@@ -1,7 +1,8 @@
 """SPARQL trees to DataFrames.
 
 A solution sequence is a frame with a column of terms for each variable. `sure` holds the variables bound in every row:
-joins on these are plain equi-joins, on others SPARQL compatibility (either side unbound, or equal) is needed.
+joins on these are plain equi-joins. On others SPARQL compatibility (either side unbound, or equal) is needed: rows are told
+apart by what they bind, so these are equi-joins, too.
 """
 
 from __future__ import annotations
@@ -223,29 +224,66 @@ class Planner:
         back = reachable(edges.select(F.col("o").alias("s"), F.col("s").alias("o")), seed)
         return back.select(F.col("o").alias("s"), F.col("s").alias("o"))
 
+    @staticmethod
+    def compatible(a: Rows, b: Rows, shared: list[str], apart: bool = False) -> list[tuple[DataFrame, Column]]:
+        """Frames of b's rows, one for each set of shared variables that they bind, and how each is joined to a's rows.
+
+        Terms are compatible if they are equal or one is unbound. Rows of b that bind the same of their loose variables are
+        joined on those, a's loose ones among them by a number that says which a row binds: a row of b then stands there
+        once for each such number, with the unbound terms empty. So each frame is an equi-join, and a pair of rows meets in
+        one of them once. apart: at least one variable must be bound on both sides.
+        """
+        out = []
+        loose = [c for c in shared if c not in b.sure]
+        for bound in (set(c for k, c in enumerate(loose) if n >> k & 1) for n in reversed(range(1 << len(loose)))):
+            rows = b.df
+            for c in loose:
+                rows = rows.where(F.col(f"`{c}`").isNotNull() if c in bound else F.col(f"`{c}`").isNull())
+            keys = [c for c in shared if c in b.sure or c in bound]
+            maybe = [c for c in keys if c not in a.sure]
+            if apart and not keys:
+                continue
+            right = rows.select(*(F.col(f"`{c}`").alias(f"__r_{c}") if c in shared else F.col(f"`{c}`") for c in b.df.columns if c in b.names or c == "__one"))
+            on = F.lit(True)
+            for c in keys:
+                if c not in maybe:
+                    on = on & (F.col(f"`{c}`") == F.col(f"`__r_{c}`"))
+            if maybe:
+                least = 1 if apart and len(maybe) == len(keys) else 0
+                right = right.select("*", F.explode(F.sequence(F.lit(least), F.lit((1 << len(maybe)) - 1))).alias("__r_binds"))
+                right = right.select("*", *(F.when(F.col("__r_binds").bitwiseAND(F.lit(1 << k)) != 0, F.col(f"`__r_{c}`")).otherwise("").alias(f"__r_key_{c}") for k, c in enumerate(maybe)))
+                binds = sum((F.when(F.col(f"`{c}`").isNotNull(), 1 << k).otherwise(0) for k, c in enumerate(maybe)), F.lit(0))
+                on = on & (binds == F.col("__r_binds"))
+                for c in maybe:
+                    on = on & (F.coalesce(F.col(f"`{c}`"), F.lit("")) == F.col(f"`__r_key_{c}`"))
+            out.append((right, on))
+        return out
+
     def join(self, a: Rows, b: Rows, how: str = "inner", condition=None) -> Rows:
-        """SPARQL join of two frames; how is inner or left. condition(df) -> Column belongs to the join."""
+        """SPARQL join of two frames; how is inner or left. condition(left, right) -> Column belongs to the join."""
         shared = sorted(a.names & b.names)
-        left = a.df
-        right = b.df.select(*(F.col(f"`{c}`").alias(f"__r_{c}") if c in shared else F.col(f"`{c}`") for c in b.df.columns if c in b.names))
-        on = F.lit(True)
-        for c in shared:
-            x, y = left[f"`{c}`"], right[f"`__r_{c}`"]
-            same = x == y
-            if c not in a.sure:
-                same = x.isNull() | same
-            if c not in b.sure:
-                same = y.isNull() | same
-            on = on & same
-        merged = lambda df: df.select(*(F.coalesce(F.col(f"`{c}`"), F.col(f"`__r_{c}`")).alias(c) if c in shared and c not in a.sure else F.col(f"`{c}`") for c in df.columns if not c.startswith("__r_")))
+        left = a.df.select(*(F.col(f"`{c}`") for c in a.df.columns if c in a.names or c == "__one"))
+        sure = a.sure | b.sure if how == "inner" else set(a.sure)
+        names = a.names | b.names
+
+        def merged(df: DataFrame) -> DataFrame:
+            both = lambda c: F.coalesce(F.col(f"`{c}`"), F.col(f"`__r_{c}`")).alias(c) if c in shared and c not in a.sure else F.col(f"`{c}`")
+            return df.select(*(both(c) for c in df.columns if not c.startswith("__r_") and c != "__one"), *([F.lit(1).alias("__one")] if not names else []))
+
+        if not shared and how == "inner" and condition is None:
+            # Nothing in common: every row goes with every other, that is what the query asks for.
+            return Rows(merged(left.drop("__one").crossJoin(b.df.select(*(F.col(f"`{c}`") for c in b.df.columns if c in b.names)))) if names else Rows(left, set(), set()).df, sure, names - sure)
+        frames = [(right.drop("__one"), on) for right, on in self.compatible(a, b, shared)]
         if condition is not None:
             # Within the condition the right side's variables are visible; shared ones are equal anyway.
-            on = on & condition(left, right, b)
-        if not shared and how == "inner":
-            return Rows(merged(left.crossJoin(right)), a.sure | b.sure, (a.maybe | b.maybe) - a.sure - b.sure)
-        out = merged(left.join(right, on, how))
-        sure = a.sure | b.sure if how == "inner" else set(a.sure)
-        return Rows(out, sure, (a.names | b.names) - sure)
+            frames = [(right, on & condition(left, right)) for right, on in frames]
+        if how == "inner" or len(frames) == 1:
+            parts = [merged(left.join(right, on, how)) for right, on in frames]
+        else:
+            parts = [merged(left.join(right, on, "inner")) for right, on in frames]
+            alone = reduce(lambda df, frame: df.join(frame[0], frame[1], "left_anti"), frames, left)
+            parts.append(alone.drop("__one").select("*", *(F.lit(None).cast("string").alias(c) for c in b.names - a.names)))
+        return Rows(reduce(DataFrame.unionByName, parts), sure, names - sure)
 
     def basic(self, triples: list[tuple]) -> Rows:
         """Join of triple patterns: most selective first, then always one that shares a variable, if any does."""
@@ -267,7 +305,7 @@ class Planner:
         """(variables, constants, is a closure, frame maker) of each pattern; single-valued stars are merged to one."""
         out, stars = [], {}
         for s, p, o in triples:
-            if isinstance(s, Var) and isinstance(p, tuple) and p[0] == "p" and p[1] in self.graph.single_valued and self.graph.table is not None:
+            if isinstance(s, Var) and isinstance(p, tuple) and p[0] == "p" and self.graph.in_stars(p[1]):
                 stars.setdefault(s.name, []).append((p[1], o))
             else:
                 names = {x.name for x in (s, p, o) if isinstance(x, Var)}
@@ -281,19 +319,15 @@ class Planner:
         return out
 
     def star(self, subject: str, arms: list[tuple]) -> Rows:
-        """Patterns on one subject over single-valued predicates as one grouped scan."""
-        t = self.graph.table.where(F.col("p").isin([p for p, _ in arms]))
-        wide = t.groupBy("s").agg(*(F.max(F.when(F.col("p") == p, F.col("o"))).alias(f"__a{k}") for k, (p, _) in enumerate(arms)))
+        """Patterns on one subject over single-valued predicates as one scan."""
+        wide = self.graph.star([(p, f"__a{k}", o.text if isinstance(o, Term) else None) for k, (p, o) in enumerate(arms)])
         names = {subject: "s"}
         for k, (_, o) in enumerate(arms):
-            c = F.col(f"__a{k}")
-            if isinstance(o, Term):
-                wide = wide.where(c == o.text)
-            elif o.name in names:
-                wide = wide.where(c == F.col(names[o.name]))
-            else:
-                names[o.name] = f"__a{k}"
-                wide = wide.where(c.isNotNull())
+            if isinstance(o, Var):
+                if o.name in names:
+                    wide = wide.where(F.col(f"__a{k}") == F.col(names[o.name]))
+                else:
+                    names[o.name] = f"__a{k}"
         return Rows(wide.select(*(F.col(c).alias(n) for n, c in names.items())), set(names), set())
 
     def evaluate(self, node: tuple) -> Rows:
@@ -370,9 +404,9 @@ class Planner:
         return self.join(rows, own, "left", self.condition(filters) if filters else None)
 
     def condition(self, filters: list):
-        def make(left: DataFrame, right: DataFrame, b: Rows) -> Column:
+        def make(left: DataFrame, right: DataFrame) -> Column:
             # Variables of the right side carry a prefix if shared; expressions then read the left one.
-            both = left.select("*").limit(0).crossJoin(right.limit(0))
+            both = left.limit(0).crossJoin(right.limit(0))
             return reduce(lambda a, c: a & c, (self.value(f, both).truth for f in filters))
 
         return make
@@ -382,22 +416,20 @@ class Planner:
         return self.semi(rows, self.evaluate(inner), negated, self.condition(filters) if filters else None, plain=True)
 
     def semi(self, a: Rows, b: Rows, negated: bool, condition=None, plain: bool = False) -> Rows:
-        """EXISTS as a semi-join, NOT EXISTS and MINUS as an anti-join (MINUS keeps rows that share no variable)."""
+        """EXISTS as a semi-join, NOT EXISTS and MINUS as an anti-join; MINUS keeps rows that have no bound variable in common."""
         shared = sorted(a.names & b.names)
         if not shared and not plain:
             return a
-        right = b.df.select(*(F.col(f"`{c}`").alias(f"__r_{c}") if c in shared else F.col(f"`{c}`") for c in b.df.columns if c in b.names or c == "__one"))
-        on = F.lit(True)
-        for c in shared:
-            same = a.df[f"`{c}`"] == right[f"`__r_{c}`"]
-            if c not in a.sure:
-                same = a.df[f"`{c}`"].isNull() | same
-            if c not in b.sure:
-                same = right[f"`__r_{c}`"].isNull() | same
-            on = on & same
+        frames = [(right.withColumnRenamed("__one", "__r_one"), on) for right, on in self.compatible(a, b, shared, apart=not plain)]
         if condition is not None:
-            on = on & condition(a.df, right, b)
-        return Rows(a.df.join(right, on, "left_anti" if negated else "left_semi"), a.sure, a.maybe)
+            frames = [(right, on & condition(a.df, right)) for right, on in frames]
+        rest, found = a.df, []
+        for k, (right, on) in enumerate(frames):
+            if not negated:
+                found.append(rest.join(right, on, "left_semi"))
+            if negated or k + 1 < len(frames):
+                rest = rest.join(right, on, "left_anti")
+        return Rows(rest if negated else reduce(DataFrame.unionByName, found), a.sure, a.maybe)
 
     # --- solution modifiers ------------------------------------------------------------------------------------
 

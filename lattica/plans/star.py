@@ -1,4 +1,4 @@
-"""A graph view of the star-schema tables: entities as IRIs, one relation a predicate."""
+"""A graph view of the star-schema tables: a row is a subject, its columns are predicates."""
 
 from __future__ import annotations
 
@@ -6,39 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import terms as T
-from .graph import Graph
+from .graph import Field, Graph, Table
 
 NS = "urn:x:"
 PREFIXES = {"": NS, "rdf": T.RDF, "rdfs": T.RDFS, "xsd": T.XSD}
+TYPE = f"<{T.RDF}type>"
 
 
 def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Relations are lazy: a query scans the tables and columns of the predicates that it names, no others."""
+    """Tables are opened when a query names one of their predicates, and columns read that it names."""
     opened: dict[str, DataFrame] = {}
 
-    def table(name: str) -> DataFrame:
-        if name not in opened:
-            opened[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        return opened[name]
-
-    node = lambda kind, c: F.concat(F.lit(f"<{NS}{kind}/"), F.col(c).cast("string"), F.lit(">"))
-
-    def edge(source: str, s: str, key: str, kind: str, c: str) -> DataFrame:
-        return table(source).where(F.col(c).isNotNull()).select(node(s, key).alias("s"), node(kind, c).alias("o"))
-
-    def value(source: str, s: str, key: str, c: str, datatype: str | None = None) -> DataFrame:
-        v = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") if datatype == "dateTime" else F.col(c).cast("string")
-        return table(source).where(F.col(c).isNotNull()).select(node(s, key).alias("s"), T.literal(v, datatype=T.XSD + datatype if datatype else None).alias("o"))
-
-    def kind(source: str, s: str, key: str, name: str) -> DataFrame:
-        return table(source).select(node(s, key).alias("s"), F.lit(f"<{NS}{name}>").alias("o"))
-
-    names = lambda: value("region", "region", "r_regionkey", "r_name").union(value("nation", "nation", "n_nationkey", "n_name")).union(value("customer", "customer", "c_custkey", "c_name")).union(value("supplier", "supplier", "s_suppkey", "s_name"))
-    types = lambda: kind("region", "region", "r_regionkey", "Region").union(kind("nation", "nation", "n_nationkey", "Nation")).union(kind("customer", "customer", "c_custkey", "Customer")).union(kind("supplier", "supplier", "s_suppkey", "Supplier"))
-    relations = {
-        "name": names, "region": lambda: edge("nation", "nation", "n_nationkey", "region", "n_regionkey"), "nation": lambda: edge("customer", "customer", "c_custkey", "nation", "c_nationkey"), "base": lambda: edge("supplier", "supplier", "s_suppkey", "nation", "s_nationkey"),
-        "customer": lambda: edge("orders", "order", "o_orderkey", "customer", "o_custkey"), "date": lambda: value("orders", "order", "o_orderkey", "o_orderdate", "dateTime"), "total": lambda: value("orders", "order", "o_orderkey", "o_totalprice", "double"), "status": lambda: value("orders", "order", "o_orderkey", "o_orderstatus"), "priority": lambda: value("orders", "order", "o_orderkey", "o_orderpriority"),
-        "partname": lambda: value("part", "part", "p_partkey", "p_name"), "brand": lambda: value("part", "part", "p_partkey", "p_brand"), "parttype": lambda: value("part", "part", "p_partkey", "p_type"), "size": lambda: value("part", "part", "p_partkey", "p_size", "integer"),
-        "segment": lambda: value("customer", "customer", "c_custkey", "c_mktsegment"), "lang": lambda: value("documents", "document", "doc_id", "lang"), "source": lambda: value("documents", "document", "doc_id", "source"), "quality": lambda: value("labels", "document", "doc_id", "quality", "integer"), "toxic": lambda: value("labels", "document", "doc_id", "toxic", "integer"),
-    }
-    return Graph({f"<{NS}{p}>": df for p, df in relations.items()} | {f"<{T.RDF}type>": types})
+    def table(name: str, kind: str, key: str, type_name: str | None = None, /, **fields: Field) -> Table:
+        def frame() -> DataFrame:
+            if name not in opened:
+                opened[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            return opened[name]
+
+        own = {f"<{NS}{p}>": f for p, f in fields.items()}
+        return Table(kind, frame, node(kind, key), own | ({TYPE: Field(None, f"<{NS}{type_name}", ">")} if type_name else {}))
+
+    def node(kind: str, column: str) -> Field:
+        return Field(column, f"<{NS}{kind}/", ">")
+
+    def typed(column: str, datatype: str, text=None) -> Field:
+        return Field(column, '"', f'"^^<{T.XSD}{datatype}>', text)
+
+    return Graph(tables=[
+        table("region", "region", "r_regionkey", "Region", name=Field("r_name")),
+        table("nation", "nation", "n_nationkey", "Nation", name=Field("n_name"), region=node("region", "n_regionkey")),
+        table("customer", "customer", "c_custkey", "Customer", name=Field("c_name"), nation=node("nation", "c_nationkey"), segment=Field("c_mktsegment")),
+        table("supplier", "supplier", "s_suppkey", "Supplier", name=Field("s_name"), base=node("nation", "s_nationkey")),
+        table("orders", "order", "o_orderkey", customer=node("customer", "o_custkey"), date=typed("o_orderdate", "dateTime", lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")), total=typed("o_totalprice", "double"), status=Field("o_orderstatus"), priority=Field("o_orderpriority")),
+        table("part", "part", "p_partkey", partname=Field("p_name"), brand=Field("p_brand"), parttype=Field("p_type"), size=typed("p_size", "integer")),
+        table("documents", "document", "doc_id", lang=Field("lang"), source=Field("source")),
+        table("labels", "document", "doc_id", quality=typed("quality", "integer"), toxic=typed("toxic", "integer")),
+    ])
