@@ -52,6 +52,24 @@ def dice(a: set, b: set) -> float:
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
 
 
+def repetitions(ids: list[int]) -> tuple[list[int], list[int]]:
+    """For each place: the next one of its number (or the end), and for how many places at least the numbers go on as
+    they did from its last one."""
+    n = len(ids)
+    earlier, last = [-1] * n, {}
+    for i, x in enumerate(ids):
+        earlier[i] = last.get(x, -1)
+        last[x] = i
+    later, repeats, following = [n] * n, [0] * n, {}
+    for i in range(n - 1, -1, -1):
+        later[i] = following.get(ids[i], n)
+        following[ids[i]] = i
+        if earlier[i] >= 0:
+            goes_on = i + 1 < n and earlier[i + 1] >= 0 and i + 1 - earlier[i + 1] == i - earlier[i]
+            repeats[i] = 1 + (repeats[i + 1] if goes_on else 0)
+    return later, repeats
+
+
 class Matcher:
     def __init__(self, templates: dict[str, str], least: float):
         self.least = least
@@ -81,35 +99,51 @@ class Matcher:
         A window of the coefficient has at least least / (2 - least) of the template's bigrams; texts with fewer are
         passed over. A best window begins and ends with bigrams of the template, and only one that it had not yet makes
         it better: so each such beginning is drawn out, its distinct bigrams counted, until it has all that the text
-        has, or more distinct ones than any match.
+        has, or more distinct ones than any match, or the bigram that it began with comes again: from there on the window
+        that begins one later has the same bigrams. A beginning after which the text repeats what followed when its bigram
+        last stood there is no better than that one, and not drawn out. So each bigram of a text is met at most as often
+        as a match has distinct ones, however much a text repeats itself. Of equal windows the first counts.
         """
         words = words_of(text)
         pairs = list(zip(words, words[1:]))
         near = self.every.intersection(pairs)
+        wanted = [(name, template, hi, shared) for (name, template), (lo, hi) in zip(self.of, self.bounds, strict=True) if (shared := len(near & template)) >= lo - 1e-9]
+        if not wanted:
+            return None
+        number: dict[tuple[str, str], int] = {}
+        ids = [number.setdefault(p, len(number)) for p in pairs]
+        later, repeats = repetitions(ids)
         found = None
-        for (name, template), (lo, hi) in zip(self.of, self.bounds, strict=True):
-            shared = len(near & template)
-            if shared < lo - 1e-9:
-                continue
-            for i, first in enumerate(pairs):
-                if first not in template:
+        for name, template, hi, shared in wanted:
+            own = {number[p] for p in near & template}
+            in_window = [-1] * len(number)  # by bigram, the beginning that met it last
+            drawn: dict[int, tuple[int, bool]] = {}  # by bigram: how far its last beginning went, and whether that was all
+            for i, first in enumerate(ids):
+                if first not in own:
+                    continue
+                took, ended = drawn.get(first, (0, False))
+                if took and repeats[i] >= took and (ended or later[i] - i <= took):
                     continue
-                had: set[tuple[str, str]] = set()
-                both = 0
-                for j in range(i, len(pairs)):
-                    p = pairs[j]
-                    if p in had:
+                distinct = both = 0
+                ended = False
+                for j in range(i, later[i]):
+                    p = ids[j]
+                    if in_window[p] == i:
                         continue
-                    had.add(p)
-                    if len(had) > hi + 1e-9:
+                    in_window[p] = i
+                    distinct += 1
+                    if distinct > hi + 1e-9:
+                        ended = True
                         break
-                    if p in template:
+                    if p in own:
                         both += 1
-                        score = 2 * both / (len(had) + len(template))
+                        score = 2 * both / (distinct + len(template))
                         if score >= self.least and (found is None or score > found[0]):
                             found = score, name, i
                         if both == shared:
+                            ended = True
                             break
+                drawn[first] = j - i + 1, ended
         if not found:
             return None
         at, line = found[2], 0
