@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,20 +42,53 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(labels, parts, asked)), lambda x: ~x.isin("host=", "path=", "query="))
 
 
+def enough(n: int, support: float, least: int) -> int:
+    """URLs that a rule needs among n labelled ones."""
+    return max(math.ceil(support * n - 1e-9), least)
+
+
+def alike(rows: DataFrame) -> DataFrame:
+    """token, class: tokens of rows(url, token) that stand in the same URLs are one class, named by the first of them.
+
+    Sets of URLs are compared by their number and 128 bits of a sum of hashes that does not depend on their order.
+    """
+    mark = lambda seed: F.bit_xor(F.xxhash64("url", F.lit(seed)))
+    sets = rows.groupBy("token").agg(F.count("*").alias("n"), mark(1).alias("a"), mark(2).alias("b"))
+    first = sets.groupBy("n", "a", "b").agg(F.min("token").alias("class"))
+    return sets.join(first, ["n", "a", "b"]).select("token", "class")
+
+
 def mined(labelled: DataFrame, support: float, confidence: float, least: int) -> DataFrame:
-    """rule_id, token, n: an inverted index of the association rules from tokens to a bad label.
+    """rule_id, n, class, token: an inverted index of the association rules from tokens to a bad label.
 
     labelled(tokens, bad). A rule needs `support` (its tokens with the label, as a share of labelled URLs) and
-    `confidence`, and at least `least` URLs: fewer prove nothing. Support bounds the index whatever the input: at most 2^t / support itemsets for URLs of t tokens.
+    `confidence`, and at least `least` URLs: fewer prove nothing. Tokens that too few bad URLs have are in no rule and left
+    out; of tokens that stand in the same URLs one is mined, and a rule holds with any of them in its place: it has n
+    classes, and fits URLs with a token of each. So a site whose URLs share any number of tokens adds one token to what is
+    mined. What is left can still combine: at most 2^t / support itemsets for URLs of t different tokens.
     """
-    baskets = labelled.select(F.when(F.col("bad"), F.array_append("tokens", BAD)).otherwise(F.col("tokens")).alias("items"))
-    n = baskets.count()
-    if n < least:
-        return labelled.sparkSession.createDataFrame([], "rule_id long, n int, token string")
-    model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=confidence).fit(baskets)
+    given = common.keep(labelled.select(F.monotonically_increasing_id().alias("url"), "tokens", "bad"), "labelled-urls")
+    n = given.count()
+    needed = enough(n, support, least)
+    if n < needed:
+        return labelled.sparkSession.createDataFrame([], "rule_id long, n int, class string, token string")
+    rows = given.select("url", "bad", F.explode("tokens").alias("token"))
+    often = rows.where("bad").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= needed).select("token")
+    some = rows.join(common.small(often), "token")
+    classes = common.keep(alike(some), "url-classes")
+    items = some.join(common.small(classes.where("token = class").select("token")), "token").groupBy("url").agg(F.collect_list("token").alias("items"))
+    baskets = given.join(items, "url", "left").select(F.array_compact(F.concat(F.coalesce("items", F.array().cast("array<string>")), F.array(F.when(F.col("bad"), BAD)))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=needed / n, minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
-    named = rules.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.size("antecedent").alias("n"), "antecedent")
-    return named.select("rule_id", "n", F.explode("antecedent").alias("token"))
+    named = common.keep(rules.select(F.monotonically_increasing_id().alias("rule_id"), F.size("antecedent").alias("n"), "antecedent"), "url-rules")
+    return named.select("rule_id", "n", F.explode("antecedent").alias("class")).join(common.small(classes), "class").select("rule_id", "n", "class", "token")
+
+
+def single_rules(labelled: DataFrame, support: float, confidence: float, least: int) -> DataFrame:
+    """token: those that are a rule alone; with further tokens they fit no URL that they do not fit alone."""
+    needed = enough(labelled.count(), support, least)
+    held = labelled.select("bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"))
+    return held.where((F.col("bad") >= needed) & (F.col("bad") / F.col("n") >= confidence)).select("token")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, support: float = 0.002, confidence: float = 0.9, least: int = 20) -> DataFrame:
@@ -69,10 +104,15 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str], ...
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
     seen = common.keep(given.withColumn("rule", rule).withColumn("listed", verdict).withColumn("tokens", tokens_of(F.col("url"), F.col("host"), F.col("path"))).drop("url"), "urls")
     marks = labels.groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
-    labelled = seen.join(common.small(marks), "page_id").where(F.size("tokens") > 0).select("tokens", "bad")
-    index = common.keep(mined(labelled, support, confidence, least), "rules")
+    labelled = common.keep(seen.join(common.small(marks), "page_id").where(F.size("tokens") > 0).select("item", "tokens", "bad"), "labelled")
+    alone = common.keep(single_rules(labelled, support, confidence, least), "single-rules")
+    # What is a rule alone need not be mined with other tokens.
+    gone = labelled.select("item", F.explode("tokens").alias("token")).join(common.small(alone), "token", "left_semi").groupBy("item").agg(F.collect_set("token").alias("gone"))
+    rest = labelled.join(gone, "item", "left").select(F.when(F.col("gone").isNull(), F.col("tokens")).otherwise(F.array_except("tokens", "gone")).alias("tokens"), "bad")
+    more = mined(rest, support, confidence, least)
+    index = common.keep(more.unionByName(alone.select((-F.monotonically_increasing_id() - 1).alias("rule_id"), F.lit(1).alias("n"), F.col("token").alias("class"), "token")), "rules")
     asked = seen.where(F.col("listed").isNull()).select("item", F.explode("tokens").alias("token"))
-    hits = asked.join(common.small(index), "token").groupBy("item", "rule_id", "n").agg(F.count("*").alias("got")).where(F.col("got") == F.col("n"))
+    hits = asked.join(common.small(index), "token").groupBy("item", "rule_id", "n").agg(F.count_distinct("class").alias("got")).where(F.col("got") == F.col("n"))
     fits = hits.groupBy("item").agg(F.count("*").alias("hits"))
     out = seen.join(fits, "item", "left").withColumn("mined_rules", common.whole_number(F.col("hits")))
     said = F.coalesce("listed", F.when(F.col("mined_rules") > 0, F.lit("block")).otherwise(F.lit("allow")))
