@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -22,32 +23,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import byte_level, default_path
+from .tokens import _byte_characters, byte_level, default_path
 
 #: Entries of a worker's table of counts, and characters of a cut that enters it, at most.
-KNOWN_CUTS, KNOWN_LENGTH = 300_000, 64
+KNOWN_CUTS, KNOWN_LENGTH = 500_000, 64
 #: Characters of a text that are cut at once; bytes of a pre-token above which it is cut where no token can cross.
 PIECE, LONG = 1 << 20, 1 << 12
-#: Ids are below this power of two, so a pair of them is one number.
-ID_BITS = 24
+#: Ids and places are below these powers of two, so a pair of ids is one number, and a rank and a place are.
+ID_BITS, PLACE_BITS = 24, 40
+#: Letters below this are letters in every version of Unicode that a file may follow.
+OLD_LETTERS = "\u0250"
+_beside_space = re.compile(r" \s|\s |^\s|\s$")
 _counters: dict[str, "Counter"] = {}
 
 
 class Cuts(dict):
     """Tokens of a space and what follows it, by what follows."""
 
-    def __init__(self, count):
+    def __init__(self, counter: Counter):
         super().__init__()
-        self.count = count
+        self.counter = counter
 
     def __missing__(self, cut: str) -> int:
-        n = self.count(" " + cut)
+        n = self.count(cut)
         if len(cut) <= KNOWN_LENGTH:
             if len(self) >= KNOWN_CUTS:
                 self.clear()
             self[cut] = n
         return n
 
+    def count(self, cut: str) -> int:
+        """A word is one pre-token with its space, a mark after it another, of one byte."""
+        if 0 < len(cut) <= KNOWN_LENGTH:
+            if cut.isalpha() and max(cut) < OLD_LETTERS:
+                return self.counter.in_bytes(b" " + cut.encode())
+            if cut[-1] in string.punctuation and cut[:-1].isalpha() and max(cut) < OLD_LETTERS:
+                return self[cut[:-1]] + 1
+        return self.counter.in_pre_tokens(" " + cut)
+
 
 class Counter:
     """Counts of one tokenizer file: byte-level BPE, with added tokens as the library has them by default."""
@@ -67,46 +80,52 @@ class Counter:
         added = sorted((t["content"] for t in file["added_tokens"]), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.symbols: dict[str, int] = {s: i for s, i in model["vocab"].items() if len(s) == 1}
-        if len(self.symbols) < 256:
+        if any(c not in self.symbols for c in _byte_characters()):
             raise ValueError(f"{path} lacks bytes")
-        #: rank and merged symbol by pair of symbols.
-        self.merged: dict[int, tuple[int, int]] = {}
+        self.bytes = [self.symbols[c] for c in _byte_characters()]
+        #: rank, moved up by PLACE_BITS, by pair of symbols; the merged symbol by rank.
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merged.setdefault(model["vocab"][a] << ID_BITS | model["vocab"][b], (rank, model["vocab"][a + b]))
+            self.ranks.setdefault(model["vocab"][a] << ID_BITS | model["vocab"][b], rank << PLACE_BITS)
+            self.made.append(model["vocab"][a + b])
         #: Bytes that stand side by side in some token, as two characters.
         self.joined = {s[k : k + 2] for s in model["vocab"] for k in range(len(s) - 1)}
-        self.cuts, self.known = Cuts(self.in_pre_tokens), {}
+        self.cuts, self.known = Cuts(self), {}
 
     def merges(self, own: list[int]) -> int:
         """How many merges the symbols take; `own` is used up."""
-        n, merged, done = len(own), self.merged, 0
+        n, ranks, made, done, ids, places = len(own), self.ranks, self.made, 0, ID_BITS, (1 << PLACE_BITS) - 1
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(merged[pair][0], k, pair) for k in range(n - 1) if (pair := own[k] << ID_BITS | own[k + 1]) in merged]
+        heap = [ranks[pair] | k for k, pair in enumerate([a << ids | b for a, b in zip(own, own[1:])]) if pair in ranks]
         heapify(heap)
         while heap:
-            _, left, pair = heappop(heap)
+            entry = heappop(heap)
+            left = entry & places
             right = after[left]
-            if right >= n or own[left] << ID_BITS | own[right] != pair:
+            if right >= n or (pair := own[left] << ids | own[right]) not in ranks or ranks[pair] != entry - left:
                 continue  # one of the two has been merged since
-            own[left], own[right] = merged[pair][1], -1
+            new = own[left] = made[entry >> PLACE_BITS]
+            own[right] = -1
             done += 1
             further = after[left] = after[right]
             if further < n:
                 before[further] = left
-                new = own[left] << ID_BITS | own[further]
-                if new in merged:
-                    heappush(heap, (merged[new][0], left, new))
-            if (earlier := before[left]) >= 0:
-                new = own[earlier] << ID_BITS | own[left]
-                if new in merged:
-                    heappush(heap, (merged[new][0], earlier, new))
+                if (pair := new << ids | own[further]) in ranks:
+                    heappush(heap, ranks[pair] | left)
+            if (earlier := before[left]) >= 0 and (pair := own[earlier] << ids | new) in ranks:
+                heappush(heap, ranks[pair] | earlier)
         return done
 
+    def in_bytes(self, data: bytes) -> int:
+        """Tokens of a short pre-token."""
+        return len(data) - self.merges(list(map(self.bytes.__getitem__, data)))
+
     def in_pre_token(self, shown: str) -> int:
         """Tokens of a pre-token, given as a printable character a byte."""
         if len(shown) <= LONG:
-            return len(shown) - self.merges([self.symbols[c] for c in shown])
+            return len(shown) - self.merges(list(map(self.symbols.__getitem__, shown)))
         total, begin = 0, 0
         for k in range(1, len(shown) + 1):
             if k == len(shown) or shown[k - 1 : k + 1] not in self.joined:
@@ -129,10 +148,10 @@ class Counter:
 
     def in_piece(self, text: str, after_space: bool) -> int:
         """Tokens of a text between two cuts; after_space: a space before it belongs to it."""
-        cuts = text.split(" ")
-        if "" in cuts or any(c[0].isspace() or c[-1].isspace() for c in cuts):
+        if _beside_space.search(text):
             cuts = re.split(r"(?<=\S) (?=\S)", text)
             return (self.cuts[cuts[0]] if after_space and not cuts[0][:1].isspace() else self.in_pre_tokens(" " * after_space + cuts[0])) + sum(map(self.cuts.__getitem__, cuts[1:]))
+        cuts = text.split(" ")
         return (0 if after_space else self.in_pre_tokens(cuts[0])) + sum(map(self.cuts.__getitem__, cuts if after_space else cuts[1:]))
 
     def in_text(self, text: str) -> int:
