@@ -9,6 +9,7 @@ from .catalog import FACTS, facts, query, read
 from .functions import metrics as M
 from .functions import text as X
 from .operators import evaluate, ids, kg, reports
+from .operators.matching import containing
 from .plans.planner import sparql
 from .plans.star import PREFIXES, star_graph
 from .sources import files, results
@@ -127,6 +128,14 @@ def endpoint_rules(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.single_rule(r.select(F.concat(F.lit("http://h/"), F.col("r_name"), F.lit("/query")).alias("url")), r.select(F.concat(F.lit("/"), F.col("r_name"), F.lit("/")).alias("pattern"), F.concat(F.lit("set"), F.col("r_regionkey").cast("string")).alias("dataset")))
 
 
+@query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def text_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark passages that stand in documents, all searched for in one reading of a text."""
+    items = read(spark, d, "benchmark").select("item_id", F.col("text").alias("pattern"))
+    hits = containing(read(spark, d, "documents").select("doc_id", "text"), "text", items.select("pattern")).where("pattern IS NOT NULL").select("doc_id", "pattern")
+    return hits.join(items, "pattern").select("doc_id", "item_id")
+
+
 @query("SELECT c_custkey, 'set' || c_nationkey AS question_set FROM customer")
 def questions_file_rules(spark: SparkSession, d: str) -> DataFrame:
     name = lambda c, sep: F.concat(F.lit(f"q{sep}"), F.col(c).cast("string"), F.lit(".txt"))

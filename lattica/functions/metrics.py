@@ -32,8 +32,9 @@ def blank(c: Column) -> Column:
 
 def keyword_count_exact_match(got: Column, keywords: Column) -> Column:
     """Share of keywords that occur in the answer, both normalised; repeated keywords count each."""
-    answer = F.coalesce(norm(got), F.lit(""))
-    hits = F.size(F.filter(keywords, lambda k: F.contains(answer, norm(k))))
+    # The normalised answer is bound once, as the one element of an array: inside the filter it would be made for each keyword.
+    answer = F.array(F.coalesce(norm(got), F.lit("")))
+    hits = F.transform(answer, lambda a: F.size(F.filter(keywords, lambda k: F.contains(a, norm(k)))))[0]
     return F.when(F.coalesce(F.size(keywords), F.lit(0)) <= 0, skipped("no keywords")).otherwise(score(hits / F.size(keywords)))
 
 

@@ -12,6 +12,7 @@ from ..functions.metrics import METRICS
 from ..functions.text import rel_path
 from ..plans.recovery import recovered
 from ..plans.syntax import SparqlError
+from .matching import containing
 
 
 def events(traces: DataFrame) -> DataFrame:
@@ -107,7 +108,8 @@ def rule_of(runs: DataFrame, rules: DataFrame) -> DataFrame:
 
 def single_rule(endpoints: DataFrame, rules: DataFrame) -> DataFrame:
     """endpoints(url) with the dataset of the one rules(pattern, dataset) whose pattern the url holds; none or several raise."""
-    hits = endpoints.join(F.broadcast(rules) if rules.limit(10_001).count() <= 10_000 else rules, F.contains("url", "pattern"), "left").groupBy("url").agg(F.count("dataset").alias("n"), F.min("dataset").alias("dataset"))
+    held = containing(endpoints.select("url").distinct(), "url", rules.select("pattern").distinct())
+    hits = held.join(rules, "pattern", "left").groupBy("url").agg(F.count("dataset").alias("n"), F.min("dataset").alias("dataset"))
     if bad := hits.where("n <> 1").first():
         raise ValueError(f"{bad['n']} rules fit {bad['url']}")
     return hits.select("url", "dataset")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm
+from ..storage import written
 
 
 def valid(facts: DataFrame) -> DataFrame:
@@ -86,30 +87,47 @@ def wide(facts: DataFrame, index: list[str], metrics: list[str]) -> DataFrame:
     return facts.groupBy(*index).pivot("metric", metrics).agg(F.avg("value"))
 
 
-def average_rank(c: str, partition: list[str]) -> Column:
-    """Rank from 1, ties sharing their mean rank."""
-    return F.rank().over(Window.partitionBy(*partition).orderBy(c)) + (F.count("*").over(Window.partitionBy(*partition, c)) - 1) / 2
+def average_ranks(rows: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
+    """rows, their value not null, with its rank from 1 within `by`, ties sharing their mean rank.
+
+    What is ranked are the different values with their numbers of rows. These are sorted by ranges, added up within a range,
+    and a range begins with the sum of those before it; so neither a value that many rows have nor a group of all rows is one
+    task's. Each row then takes its value's rank.
+    """
+    given = rows.where(F.col(value).isNotNull())
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = given.groupBy(*by, value).agg(F.count("*").alias("__n")).repartitionByRange(n, *by, value)
+    ranges = written(counts.withColumn("__range", F.spark_partition_id()), "ranks")
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy(*by, "__range").agg(F.sum("__n").alias("__total"))
+    starts = totals.select(*by, "__range", F.coalesce(F.sum("__total").over(earlier(Window.partitionBy(*by).orderBy("__range"))), F.lit(0)).alias("__start"))
+    own = F.coalesce(F.sum("__n").over(earlier(Window.partitionBy("__range", *by).orderBy(value))), F.lit(0))
+    same = lambda *columns: [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in columns]
+    placed = ranges.withColumn("__own", own).alias("l").join(starts.alias("r"), same(*by, "__range")).select("l.*", "r.__start")
+    ranks = placed.select(*by, value, (F.col("__start") + F.col("__own") + (F.col("__n") + 1) / 2).alias(out))
+    return given.alias("l").join(ranks.alias("r"), same(*by, value)).select("l.*", F.col(f"r.`{out}`"))
+
+
+def correlated(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, rho of rows with __a and __b, both not null: null under two rows or for a constant."""
+    ranked = average_ranks(average_ranks(pairs, "__a", by, "__ra"), "__b", by, "__rb")
+    # Not corr(): it raises on a constant column in ANSI mode.
+    rho = F.try_divide(F.covar_pop("__ra", "__rb"), F.stddev_pop("__ra") * F.stddev_pop("__rb"))
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), rho.alias("rho"))
+    return out.withColumn("rho", F.when((F.col("n") > 1) & ~F.isnan("rho"), F.col("rho")))
 
 
 def spearman(matrix: DataFrame, a: str, b: str, partition: list[str] | None = None) -> DataFrame:
     """Rank correlation of two columns, rows with a null in either dropped; null under two rows or for a constant."""
     by = partition or []
     rows = matrix.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    keyed = rows.withColumn("__all", F.lit(1))
-    ranked = keyed.withColumns({"__ra": average_rank(a, [*by, "__all"]), "__rb": average_rank(b, [*by, "__all"])})
-    # Not corr(): it raises on a constant column in ANSI mode.
-    rho = F.try_divide(F.covar_pop("__ra", "__rb"), F.stddev_pop("__ra") * F.stddev_pop("__rb"))
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), rho.alias("rho"))
-    return out.withColumn("rho", F.when((F.col("n") > 1) & ~F.isnan("rho"), F.col("rho")))
+    return correlated(rows.select(*by, F.col(a).alias("__a"), F.col(b).alias("__b")), by)
 
 
 def spearman_matrix(matrix: DataFrame, metrics: list[str]) -> DataFrame:
-    out = None
-    for k, a in enumerate(metrics):
-        for b in metrics[k + 1 :]:
-            one = spearman(matrix, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "rho")
-            out = one if out is None else out.union(one)
-    return out
+    """a, b, n, rho of each pair of metrics, in one plan: a row of the matrix stands there once for each pair that it has."""
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b")) for k, a in enumerate(metrics) for b in metrics[k + 1 :]]
+    return correlated(matrix.select(F.inline(F.array(*pairs))).where("__a IS NOT NULL AND __b IS NOT NULL"), ["a", "b"])
 
 
 def min_max(rows: DataFrame, partition: list[str], value: str = "value") -> DataFrame:
