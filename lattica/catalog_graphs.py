@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import terms as T
 from .catalog import query, read
+from .operators import mapping
 from .plans.star import NS, PREFIXES
 from .sources import serialise
 from .sources.turtle import read_turtle
@@ -80,3 +81,27 @@ def graph_turtle_long(spark: SparkSession, d: str) -> DataFrame:
     path = folder(spark, "graph-turtle-long")
     docs.select(F.concat(head, F.lit(f' # """\n  <{NS}text>\n"""'), body, F.lit('"""\n.'))).write.text(path)
     return read_turtle(spark, path).where("error IS NULL").select("s", "p", "o")
+
+
+# --- process models --------------------------------------------------------------------------------------------------
+
+_ORG, _BBO = "urn:process:org#", mapping.NAMESPACES["bbo"]
+
+
+@query(f"""
+WITH p AS (SELECT n_nationkey AS k, '<{NS}P' || n_nationkey || '>' AS s, n_name FROM nation), t AS (SELECT c_nationkey AS k, '<{NS}T' || c_custkey || '>' AS s, c_name FROM customer)
+SELECT s, '<{T.RDFS}subClassOf>' AS p, '<{_BBO}Process>' AS o FROM p UNION SELECT s, '<{_BBO}name>', '"' || n_name || '"' FROM p
+UNION SELECT s, '<{_ORG}belongsToView>', '<{_ORG}BusinessProcessManagementView>' FROM p UNION SELECT s, '<{_ORG}belongsToRAMILayer>', '<urn:process:layer#Business>' FROM p
+UNION SELECT s, '<{T.RDFS}subClassOf>', '<{_BBO}UserTask>' FROM t UNION SELECT s, '<{_BBO}name>', '"' || c_name || '"' FROM t UNION SELECT t.s, '<{_ORG}belongsToProcess>', p.s FROM t JOIN p USING (k)
+UNION SELECT '<{NS}D' || k || '>', '<{T.RDFS}subClassOf>', '<urn:process:ext#Definitions>' FROM p
+""")
+def process_models(spark: SparkSession, d: str) -> DataFrame:
+    """A process a nation, a task a customer, written as XML files and mapped to triples by the rules."""
+    n, c = read(spark, d, "nation"), read(spark, d, "customer")
+    key = lambda letter, k: F.concat(F.lit(letter), F.col(k).cast("string"))
+    task = F.format_string('<bpmn:userTask id="%s" name="%s"/>', key("T", "c_custkey"), F.col("c_name"))
+    tasks = c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.array_join(F.collect_list(task), "").alias("tasks"))
+    head = F.format_string('<bpmn:definitions xmlns:bpmn="urn:b" id="%s"><bpmn:process id="%s" name="%s">', key("D", "n_nationkey"), key("P", "n_nationkey"), F.col("n_name"))
+    path = folder(spark, "models")
+    n.join(tasks, "n_nationkey", "left").select("n_nationkey", F.concat(head, F.coalesce("tasks", F.lit("")), F.lit("</bpmn:process></bpmn:definitions>")).alias("value")).write.partitionBy("n_nationkey").text(path)
+    return mapping.map_files(spark, f"{path}/*/*.txt", base=NS).where("error IS NULL").select("s", "p", "o")

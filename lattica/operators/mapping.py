@@ -2,9 +2,12 @@
 
 A rule: an element path, a subject template, a class, and pairs of predicate and value. Values: "@x" an attribute,
 "text()" the element's text, "type()" the attribute whose local name is type; "<template>" an IRI from a template of
-{@id}, {../@id}, {child}, {child/@id}, {*}, {position()}, {text()}; "^Rule" the subject of every element of a rule in the
-file; "^Rule parent" of the one that is this element's parent, "^Rule child" of those whose parent this element is. `~`
-stands for the base IRI. A missing part of a value gives no triple. A rule that is not defined gives none either.
+{@id}, {../@id}, {child}, {child/@id}, {*}, {position()}, {text()}; "^Rule all" the subjects of all elements of a rule in
+the file, "^Rule parent" of those whose id is that of this element's parent, "^Rule child" of those whose parent has this
+element's id. `~` stands for the base IRI. A missing part of a value gives no triple. A rule that is not defined gives none.
+
+Documents become rows of elements; what one element says alone becomes triples at once, references to other rules' elements
+are joins of these rows by file, rule and id.
 """
 
 from __future__ import annotations
@@ -13,13 +16,16 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fix_flags, fix_prefix
+from ..storage import written
 from ..terms import RDFS
+from . import mapping_rules
 
 #: Prefixes of rules: the public ontologies by their own IRIs, neutral names for the rest; pass others where wanted.
 NAMESPACES = {"bbo": "https://www.irit.fr/recherches/MELODI/ontologies/BBO#", "ext": "urn:process:ext#", "org": "urn:process:org#", "rdfs": RDFS, "layer": "urn:process:layer#"}
@@ -35,94 +41,7 @@ class Rule:
     values: tuple[tuple[str, str], ...] = field(default=())
 
 
-def _rules() -> list[Rule]:
-    """The rules as families: what a family shares is said once."""
-    out: list[Rule] = []
-    name = ("bbo:name", "@name")
-    process = ("org:belongsToProcess", "^Process")
-
-    def add(rule: str, path: str, kind: str, *values: tuple[str, str], subject: str = "~{@id}") -> None:
-        out.append(Rule(rule, path, subject, kind, values))
-
-    view = (("org:belongsToRAMILayer", "<layer:Business>"), ("org:belongsToView", "<org:BusinessProcessManagementView>"))
-    ends = (("bbo:has_sourceRef", "<~{@sourceRef}>"), ("bbo:has_targetRef", "<~{@targetRef}>"))
-    add("Process", "definitions/process", "bbo:Process", *view, name)
-    add("SubProcess", "definitions/process/subProcess", "bbo:SubProcess", *view)
-    add("ProcessError", "definitions/error", "bbo:Error", name)
-    add("ProcessProperty", "definitions/process//property", "bbo:Property", name, ("bbo:has_property_element", "<{../@id}>"))
-    add("ProcessStartEvent", "definitions/process/startEvent", "bbo:StartEvent", ("bbo:has_targetRef", "<~{*}>"), process, name)
-    add("ProcessEndEvent", "definitions/process/endEvent", "bbo:EndEvent", process, name)
-    add("ProcessBoundaryEvent", "definitions/process/boundaryEvent", "bbo:BoundaryEvent", ("bbo:attachedToRef", "<{@attachedToRef}>"), name, ("bbo:has_targetRef", "<{outgoing}>"), ("bbo:has_eventDefinition", "<{messageEventDefinition/@id}>"), ("bbo:has_eventDefinition", "<{errorEventDefinition/@id}>"))
-    for k in ("Error", "Message"):
-        add(f"Process{k}EventDefinition", f"//{k.lower()}EventDefinition", f"bbo:{k}EventDefinition", process)
-    add("ProcessIntermediateThrow", "definitions/process//intermediateThrowEvent", "bbo:IntermediateThrowEvent", process, name, ("bbo:has_targetRef", "<~{outgoing}>"), ("bbo:has_sourceRef", "<~{incoming}>"), ("bbo:has_eventDefinition", "<~{messageEventDefinition}>"))
-    add("ProcessSequenceFlow", "definitions/process/sequenceFlow", "bbo:sequenceFlow", process, name, *ends, ("bbo:condition", "^ProcessSequenceFlowConditionExpression child"))
-    add("ProcessSequenceFlowConditionExpression", "definitions/process/sequenceFlow/conditionExpression", "bbo:conditionExpression", ("org:belongsToProcessSequenceFlow", "^ProcessSequenceFlow parent"), ("bbo:xsi_type", "type()"), ("bbo:expression", "text()"), subject="~{../@id}/conditionExpression/{position()}")
-    for k in ("task", "serviceTask", "userTask", "manualTask", "sendTask", "receiveTask", "businessRuleTask", "scriptTask"):
-        cap = k[0].upper() + k[1:]
-        add(f"Process{cap}", f"definitions/process//{k}", f"bbo:{cap}", name, process)
-    for k, path in (("ParallelGateway", "definitions/process/parallelGateway"), ("ExclusiveGateway", "definitions/process//exclusiveGateway")):
-        add(f"Process{k}", path, f"bbo:{k}", ("bbo:DefaultSequenceFlow", "<{@default}>"), process, name, ("bbo:has_targetRef", "<{outgoing}>"), ("bbo:has_sourceRef", "<{incoming}>"))
-    add("ProcessAssociation", "definitions/process/association", "ext:Association", process, *ends)
-    add("ProcessTextAnnotation", "definitions/process/textAnnotation", "ext:TextAnnotation", process, ("rdfs:comment", "<{*}>"))
-    add("ProcessDataObject", "definitions/process//dataObject", "ext:DataObject", process)
-    add("ProcessDataObjectReference", "definitions/process//dataObjectReference", "ext:DataObjectReference", name, process, ("ext:dataObjectRef", "<~{@dataObjectRef}>"))
-    add("ProcessDataOutputAssociation", "definitions/process//dataOutputAssociation", "ext:DataOutputAssociation", process, ("bbo:has_targetRef", "<~{targetRef}>"), ("ext:is_dataOutputFrom", "<{../@id}>"))
-    add("ProcessDataInputAssociation", "definitions/process//dataInputAssociation", "ext:DataInputAssociation", process, ("bbo:has_sourceRef", "<~{sourceRef}>"), ("bbo:has_targetRef", "<~{targetRef}>"), ("ext:is_dataInputFor", "<{../@id}>"))
-    add("ProcessDataStoreReference", "definitions/process//dataStoreReference", "ext:DataStoreReference", process, name, subject="{@id}")
-    add("ProcessPoolLikeCollaboration", "definitions/process//collaboration", "ext:Collaboration", process)
-    add("ProcessLaneSet", "definitions/process/laneSet", "ext:LaneSet", process)
-    add("ProcessLane", "definitions/process/laneSet/lane", "ext:Lane", process, ("bbo:has_activity", "<~{*}>"), name)
-    add("ProcessParticipant", "definitions/process//collaboration/participant", "ext:Participant", process, name, ("ext:processRef", "<{@processRef}>"))
-    add("ProcessMessageFlow", "definitions/process/collaboration/messageFlow", "ext:MessageFlow", process, name, *ends)
-    in_choreography = ("org:belongsToChoreography", "^Choreography parent")
-    for k in ("Collaboration", "Choreography"):
-        own = (f"org:belongsTo{k}", f"^{k} parent")
-        add(f"{k}Association", f"definitions//{k.lower()}/association", "ext:Association", own, ("bbo:id", "@id"), *((f"{p}:{a}", f"@{a}") for p, a in (("ext", "associationDirection"), ("bbo", "sourceRef"), ("bbo", "targetRef"))))
-        add(f"{k}TextAnnotation", f"definitions//{k.lower()}/textAnnotation", "ext:TextAnnotation", own, ("bbo:id", "@id"), ("ext:alignment", "@alignment"), ("ext:textFormat", "@textFormat"))
-        add(f"{k}TextAnnotationText", f"definitions/{k.lower()}/textAnnotation/text", "ext:Text", (f"org:belongsTo{k}TextAnnotation", f"^{k}TextAnnotation parent"), ("ext:text", "<{text()}>"), subject="~{../@id}/text/{position()}")
-    definitions = ("org:belongsToDefinitions", "^Definitions parent")
-    add("Category", "definitions/category", "ext:Category", definitions)
-    add("CategoryCategoryValue", "definitions/category/categoryValue", "ext:CategoryValue", ("org:belongsToCategory", "^Category parent"), ("bbo:name", "@value"))
-    parts = {"participant": "Participant", "sequenceFlow": "ChoreographySequenceFlow", "choreographyTask": "ChoreographyTask", "parallelGateway": "ChoreographyParallelGateway", "endEvent": "ChoreographyEndEvent", "exclusiveGateway": "ChoreographyExclusiveGateway"}
-
-    def listed(tag: str, child: str, owner: str, path: str | None = None) -> None:
-        cap = child[0].upper() + child[1:]
-        add(f"{owner}.{child}", path or f"definitions//{tag}/{child}", f"ext:{cap}", (f"org:belongsTo{owner}", f"^{owner} parent"), (f"ext:{child}", "<{text()}>"), subject=f"~{{../@id}}/{child}/{{position()}}")
-
-    for tag, owner in parts.items():
-        listed(tag, "categoryValueRef", owner)
-    for tag in ("choreographyTask", "exclusiveGateway", "endEvent", "parallelGateway", "eventBasedGateway"):
-        listed(tag, "incoming", "Choreography" + tag[0].upper() + tag[1:])
-    for tag in ("choreographyTask", "exclusiveGateway", "startEvent", "parallelGateway", "eventBasedGateway", "intermediateCatchEvent"):
-        listed(tag, "outgoing", "Choreography" + tag[0].upper() + tag[1:])
-    for child in ("messageFlowRef", "participantRef"):
-        listed("choreographyTask", child, "ChoreographyChoreographyTask", f"definitions/choreography/choreographyTask/{child}")
-    add("Choreography", "definitions/choreography", "ext:Choreography", definitions, name, ("ext:isClosed", "@isClosed"))
-    add("Collaboration", "definitions/collaboration", "ext:Collaboration", definitions)
-    own = ("exporter", "exporterVersion", "expressionLanguage", "schemaLocation", "targetNamespace", "typeLanguage")
-    add("Definitions", "definitions", "ext:Definitions", name, *((f"ext:{a}", f"@{a}") for a in own))
-    add("Message", "definitions/message", "ext:Message", definitions, name)
-    nodes = {
-        "choreographyTask": ("initiatingParticipantRef", "loopType"), "endEvent": (), "eventBasedGateway": ("eventGatewayType", "gatewayDirection", "instantiate"), "exclusiveGateway": ("default", "gatewayDirection"),
-        "intermediateCatchEvent": (), "parallelGateway": ("gatewayDirection",), "participant": (), "startEvent": ("isInterrupting",),
-    }
-    for tag, attributes in nodes.items():
-        cap = tag[0].upper() + tag[1:]
-        add(f"Choreography{cap}", f"definitions/choreography/{tag}", f"ext:{cap}", in_choreography, name, *((f"ext:{a}", f"@{a}") for a in attributes))
-    add("ChoreographyGroup", "definitions/choreography/group", "ext:Group", in_choreography, ("ext:categoryValueRef", "@categoryValueRef"))
-    add("ChoreographyMessageFlow", "definitions/choreography/messageFlow", "ext:MessageFlow", in_choreography, *((f"ext:{a}", f"@{a}") for a in ("messageRef", "sourceRef", "targetRef")))
-    add("ParticipantParticipantMultiplicity", "definitions/choreography/participant/participantMultiplicity", "ext:ParticipantMultiplicity", ("org:belongsToChoreographyParticipant", "^ChoreographyParticipant parent"), ("ext:minimum", "@minimum"), ("ext:maximum", "@maximum"))
-    add("ChoreographySequenceFlow", "definitions/choreography/sequenceFlow", "bbo:SequenceFlow", *ends, ("org:belongsToChoreography", "^Choreography"), ("bbo:condition", "^ChoreographySequenceFlowConditionExpression child"), ("ext:isImmediate", "@isImmediate"), name)
-    add("ChoreographySequenceFlowConditionExpression", "definitions/choreography/sequenceFlow/conditionExpression", "bbo:conditionExpression", ("bbo:xsi_type", "type()"), ("bbo:expression", "text()"), ("org:belongsToChoreographySequenceFlow", "^ChoreographySequenceFlow parent"), subject="~{../@id}/conditionExpression/{position()}")
-    for owner, tag, path in (("StartEvent", "signal", "definitions/choreography"), ("EndEvent", "terminate", "definitions/choreography"), ("StartEvent", "timer", "definitions/"), ("IntermediateCatchEvent", "timer", "definitions/")):
-        holder = owner[0].lower() + owner[1:]
-        cap = tag.capitalize()
-        add(f"{owner}{cap}EventDefinition", f"{path}/{holder}/{tag}EventDefinition", f"ext:{cap}EventDefinition", (f"org:belongsToChoreography{owner}", f"^Choreography{owner} parent"), *([("bbo:id", "@id")] if tag == "timer" else []))
-    return out
-
-
-RULES = _rules()
+RULES = [Rule(*row) for row in mapping_rules.RULES]
 
 
 def local(tag: str) -> str:
@@ -135,17 +54,14 @@ class Document:
     def __init__(self, text: str):
         self.root = ET.fromstring(text)
         self.parent = {c: p for p in self.root.iter() for c in p}
+        self.chains: dict[ET.Element, str] = {}
 
-    def matches(self, e: ET.Element, path: str) -> bool:
-        """Whether the element's chain of names fits the path; // stands for any number of steps."""
-        chain = []
-        while e is not None:
-            chain.append(local(e.tag))
-            e = self.parent.get(e)
-        pattern = "^/" + re.sub(r"//", "/(?:[^/]+/)*", path.lstrip("/")) + "$"
-        if path.startswith("//"):
-            pattern = pattern.replace("^/", "^/(?:[^/]+/)*")
-        return re.match(pattern, "/" + "/".join(reversed(chain))) is not None
+    def chain(self, e: ET.Element) -> str:
+        """Names from the root to the element."""
+        if e not in self.chains:
+            above = self.parent.get(e)
+            self.chains[e] = (self.chain(above) if above is not None else "") + "/" + local(e.tag)
+        return self.chains[e]
 
     def attribute(self, e: ET.Element | None, name: str) -> str | None:
         return None if e is None else next((v for k, v in e.attrib.items() if local(k) == name), None)
@@ -181,47 +97,76 @@ class Document:
         return out
 
 
-def map_document(text: str, rules: list[Rule] = RULES, base: str = BASE, namespaces: dict[str, str] = NAMESPACES, class_predicate: str = RDFS + "subClassOf") -> set[tuple[str, str, str]]:
+class Paths:
+    """Which rules' paths fit a chain of names, found once for each chain; // stands for any number of steps."""
+
+    def __init__(self, rules: list[Rule]):
+        self.patterns = [(r, re.compile("/(?:[^/]+/)*" + r.path[2:].replace("//", "/(?:[^/]+/)*") if r.path.startswith("//") else "/" + r.path.replace("//", "/(?:[^/]+/)*"))) for r in rules]
+        self.known: dict[str, list[Rule]] = {}
+
+    def of(self, chain: str) -> list[Rule]:
+        if chain not in self.known:
+            self.known[chain] = [r for r, p in self.patterns if p.fullmatch(chain)]
+        return self.known[chain]
+
+
+def element_rows(text: str, paths: Paths, base: str, namespaces: dict[str, str], class_predicate: str) -> Iterator[tuple]:
+    """(rule, subject, predicate, object, id, parent's id): triples that an element gives alone, and, with a null predicate,
+    the element itself, for the joins."""
     doc = Document(text)
-    full = lambda name: "<" + re.sub(r"^(\w+):", lambda m: namespaces.get(m[1], m[0]), name) + ">"
-    found = {r.name: [e for e in doc.root.iter() if doc.matches(e, r.path)] for r in rules}
-    subject = {r.name: {e: s for e in found[r.name] for s in doc.filled(e, r.subject, base)[:1]} for r in rules}
-    out = set()
-    for r in rules:
-        for e, s in subject[r.name].items():
-            s = f"<{s}>"
-            out.add((s, f"<{class_predicate}>", full(r.kind)))
-            for predicate, value in r.values:
-                if value.startswith("^"):
-                    rule, _, how = value[1:].partition(" ")
-                    near = subject.get(rule, {})
-                    pick = near.values() if not how else [near[p] for p in [doc.parent.get(e)] if p in near] if how == "parent" else [near[c] for c in e if c in near]
-                    objects = [f"<{o}>" for o in pick]
-                elif value.startswith("<"):
-                    inner = value[1:-1]
-                    objects = [f"<{o}>" for o in doc.filled(e, inner, base)] if "{" in inner or "~" in inner else [full(inner)]
-                else:
-                    objects = [f'"{o}"' for o in doc.reference(e, value)]
-                out.update((s, full(predicate), o) for o in objects)
-    return out
-
-
-def map_files(spark: SparkSession, path: str, **options) -> DataFrame:
-    """s, p, o, model, error of XML files, one file a row and a worker at a time; a malformed file is a row with its error.
-
-    Declared ns0 prefixes and bare boolean attributes are repaired first.
+    full = lambda name: full_name(name, namespaces)
+    for e in doc.root.iter():
+        for r in paths.of(doc.chain(e)):
+            for s in doc.filled(e, r.subject, base)[:1]:
+                s = f"<{s}>"
+                yield r.name, s, None, None, doc.attribute(e, "id"), doc.attribute(doc.parent.get(e), "id")
+                yield r.name, s, f"<{class_predicate}>", full(r.kind), None, None
+                for predicate, value in r.values:
+                    if value.startswith("<"):
+                        inner = value[1:-1]
+                        objects = [f"<{o}>" for o in doc.filled(e, inner, base)] if "{" in inner or "~" in inner else [full(inner)]
+                    elif value.startswith("^"):
+                        continue
+                    else:
+                        objects = [f'"{o}"' for o in doc.reference(e, value)]
+                    yield from ((r.name, s, full(predicate), o, None, None) for o in objects)
+
+
+def full_name(name: str, namespaces: dict[str, str]) -> str:
+    return "<" + re.sub(r"^(\w+):", lambda m: namespaces.get(m[1], m[0]), name) + ">"
+
+
+def map_files(spark: SparkSession, path: str, rules: list[Rule] = RULES, base: str = BASE, namespaces: dict[str, str] = NAMESPACES, class_predicate: str = RDFS + "subClassOf") -> DataFrame:
+    """s, p, o, model, error of XML files, each triple of a file once; a malformed file is a row with its error.
+
+    Declared ns0 prefixes and bare boolean attributes are repaired first. A file is read by one task.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        paths = Paths(rules)
         for batch in batches:
             rows = []
             for file, text in zip(batch["file"], batch["xml"]):
                 model = re.sub(r"\.[^.]*$", "", file.rsplit("/", 1)[-1])
                 try:
-                    rows += [(*t, model, None) for t in sorted(map_document(text, **options))]
+                    rows += [(file, model, *row, None) for row in element_rows(text, paths, base, namespaces, class_predicate)]
                 except ET.ParseError as e:
-                    rows.append((None, None, None, model, str(e)))
-            yield pd.DataFrame(rows, columns=["s", "p", "o", "model", "error"])
+                    rows.append((file, model, *[None] * 6, str(e)))
+            yield pd.DataFrame(rows, columns=["file", "model", "rule", "s", "p", "o", "id", "parent", "error"], dtype=object)
 
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), fix_flags(fix_prefix(F.col("value"))).alias("xml"))
-    return whole.mapInPandas(run, "s string, p string, o string, model string, error string")
+    rows = written(whole.mapInPandas(run, "file string, model string, rule string, s string, p string, o string, id string, parent string, error string"), "elements")
+    # One row a reference of a rule to another: a table of the size of the rules.
+    links = [(r.name, full_name(p, namespaces), *v[1:].split(" ")) for r in rules for p, v in r.values if v.startswith("^")]
+    link = F.broadcast(spark.createDataFrame(links, "rule string, p string, target string, how string"))
+    elements = rows.where("p IS NULL AND error IS NULL").select("file", "model", "rule", "s", "id", "parent")
+    asking = elements.join(link, "rule").select("file", "model", "s", link["p"], "target", "how", "id", "parent")
+    asked = elements.select("file", F.col("rule").alias("target"), F.col("s").alias("o"), F.col("id").alias("its_id"), F.col("parent").alias("its_parent"))
+    pairs = [
+        asking.where("how = 'all'").join(asked, ["file", "target"]),
+        asking.where("how = 'parent'").withColumn("its_id", F.col("parent")).join(asked, ["file", "target", "its_id"]),
+        asking.where("how = 'child'").withColumn("its_parent", F.col("id")).join(asked, ["file", "target", "its_parent"]),
+    ]
+    none = F.lit(None).cast("string").alias("error")
+    triples = reduce(DataFrame.union, [rows.where("p IS NOT NULL").select("file", "s", "p", "o", "model"), *(x.select("file", "s", "p", "o", "model") for x in pairs)]).distinct()
+    return triples.select("s", "p", "o", "model", none).union(rows.where("error IS NOT NULL").select("s", "p", "o", "model", "error"))
