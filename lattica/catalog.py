@@ -367,3 +367,4 @@ def recovery_uris(spark: SparkSession, d: str) -> DataFrame:
 
 from . import catalog_records as catalog_records  # noqa: E402 - adds its queries to those above
 from . import catalog_graphs as catalog_graphs  # noqa: E402 - and these
+from . import catalog_sources as catalog_sources  # noqa: E402 - and these
