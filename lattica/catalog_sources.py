@@ -15,6 +15,7 @@ from .plans.planner import sparql
 from .plans.star import NS, PREFIXES, star_graph
 from .sources import files, serialise
 from .sources.turtle import read_turtle
+from .streaming import traces
 
 
 def number(c: str) -> Column:
@@ -129,6 +130,17 @@ def source_traces(spark: SparkSession, d: str) -> DataFrame:
     return events.select("question_id", "e.seq", "e.kind", F.col("e.request.query").alias("query"), F.col("e.tokenUsage.totalTokens").alias("tokens"))
 
 
+@query("SELECT user_id, count(*) AS events, CAST(sum(event_id % 7) AS BIGINT) AS tokens, arg_max(event_type, event_id) FILTER (WHERE event_type <> 'view') AS last_query, max(event_id) FILTER (WHERE event_type <> 'view') AS last_seq FROM events GROUP BY 1")
+def stream_state(spark: SparkSession, d: str) -> DataFrame:
+    """Events that arrive in several batches: the state that they leave is that of all of them."""
+    path = folder(spark, "stream")
+    events = read(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("query"), (F.col("event_id") % 7).alias("tokens"))
+    events.repartition(6).write.parquet(f"{path}/arriving")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/arriving")
+    traces.reduce_stream(stream, ["user_id"], path).awaitTermination()
+    return traces.settled(spark, ["user_id"], path)
+
+
 @query("SELECT 'q' || doc_id AS \"questionId\", m AS metric, CASE m WHEN 'quality' THEN CAST(quality AS DOUBLE) ELSE CAST(toxic AS DOUBLE) / 2 END AS value FROM labels, (SELECT unnest(['quality', 'toxic']) AS m)")
 def sink_json_lines(spark: SparkSession, d: str) -> DataFrame:
     """Scores written as JSON lines, a folder a metric, and read again."""
