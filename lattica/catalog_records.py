@@ -214,9 +214,8 @@ def query_records(spark: SparkSession, d: str) -> DataFrame:
     """Queries run to records: rows counted, a sample shown, errors told."""
     g = star_graph(spark, d)
     texts = {"all": "SELECT ?c ?n WHERE { ?c :nation ?n . }", "ask": "ASK { ?r :name \"ASIA\" . }", "none": "SELECT ?x WHERE { ?x :name \"NOWHERE\" . }", "bad": "SELECT ?x WHERE {"}
-    rows = [(n, results.run(spark, g, t, PREFIXES)) for n, t in texts.items()]
-    flat = [(n, r["status"], r["type"], r["rowCount"], len(r["rows"]) if r["rows"] else None, r["rowsTruncated"], r["boolean"], r["error"]) for n, r in rows]
-    return spark.createDataFrame(flat, "name string, status string, type string, rows long, shown int, truncated boolean, answer boolean, error string")
+    got = results.records(spark, g, texts, PREFIXES)
+    return got.select("name", "status", "type", F.col("rowCount").alias("rows"), F.when(F.size("rows") > 0, F.size("rows")).alias("shown"), F.col("rowsTruncated").alias("truncated"), F.col("boolean").alias("answer"), "error")
 
 
 # --- reports -------------------------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from ..functions.metrics import METRICS
 from ..functions.text import rel_path
 from ..plans.recovery import recovered
 from ..plans.syntax import SparqlError
+from ..storage import written
 from .matching import containing
 
 
@@ -58,28 +60,43 @@ def evaluate(rows: DataFrame, metrics: list[str], keys: list[str]) -> DataFrame:
     return scored.select(*keys, long).select(*keys, "x.metric", "x.score.*")
 
 
+#: Queries that are planned as one job.
+BATCH = 16
+
+
 def uri_answers(questions: DataFrame, run: Callable[[str], DataFrame], class_uri: str = r"^$", most: int = 20) -> DataFrame:
     """questions(last_query, ...) with uris, recovery_used and uri_error, by running each distinct query.
 
-    run(text) gives a raw ordered result (terms); its first `most` rows are read. A query that finds no URI is rewritten to
-    ask for its driving variables and run again. What fails, in either run or the rewriting, is an error text; a null query
-    is missing_query. Queries are planned on the driver, one after the other: they are a question list, and each gives at
-    most `most` rows' cells.
+    run(text) gives a raw ordered result (terms), of which the first `most` rows are read. A query that finds no URI is
+    rewritten to ask for its driving variables and run again. A query or rewriting that cannot be planned gives an error
+    text; a null query is missing_query. Query texts are planned on the driver, since each is a plan of its own; their
+    results are not fetched: queries run `BATCH` to a job, and what they find is written and joined to the questions.
     """
     spark = questions.sparkSession
-
-    def found(text: str) -> list[str]:
-        return sorted(r["uri"] for r in uri_cells(run(text), class_uri, most).collect())
-
-    def answer(text: str) -> tuple[list[str] | None, bool | None, str | None]:
-        try:
-            uris = found(text)
-            return (uris, False, None) if uris else (found(recovered(text)), True, None)
-        except (SparqlError, PySparkException) as e:
-            return None, None, f"{type(e).__name__}: {e}"[:600]
-
     texts = [r["last_query"] for r in questions.select("last_query").where("last_query IS NOT NULL").distinct().toLocalIterator()]
-    answers = spark.createDataFrame([(t, *answer(t)) for t in texts], "last_query string, uris array<string>, recovery_used boolean, uri_error string")
+
+    def found(rewrite: Callable[[str], str], texts: list[str]) -> tuple[DataFrame, dict[str, str]]:
+        """last_query, uri of the texts' results, and what cannot be planned."""
+        out, errors = [], {}
+        for k in range(0, len(texts), BATCH):
+            frames = []
+            for text in texts[k : k + BATCH]:
+                try:
+                    frames.append(uri_cells(run(rewrite(text)), class_uri, most).select(F.lit(text).alias("last_query"), "uri"))
+                except (SparqlError, PySparkException) as e:
+                    errors[text] = f"{type(e).__name__}: {e}"[:600]
+            if frames:
+                out.append(written(reduce(DataFrame.union, frames), "uris"))
+        none = spark.createDataFrame([], "last_query string, uri string")
+        return reduce(DataFrame.union, out, none), errors
+
+    first, failed = found(lambda text: text, texts)
+    have = {r["last_query"] for r in first.select("last_query").distinct().toLocalIterator()}
+    second, failed_again = found(recovered, [t for t in texts if t not in have and t not in failed])
+    uris = first.withColumn("again", F.lit(False)).union(second.withColumn("again", F.lit(True))).groupBy("last_query").agg(F.array_sort(F.collect_set("uri")).alias("found"))
+    failed |= failed_again
+    known = spark.createDataFrame([(t, None if t in failed else t not in have, failed.get(t)) for t in texts], "last_query string, recovery_used boolean, uri_error string")
+    answers = known.join(uris, "last_query", "left").withColumn("uris", F.when(F.col("uri_error").isNull(), F.coalesce("found", F.array().cast("array<string>")))).drop("found")
     return questions.join(answers, "last_query", "left").withColumn("uri_error", F.when(F.col("last_query").isNull(), "missing_query").otherwise(F.col("uri_error")))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,9 +131,9 @@ class Planner:
         t = [x.text for x in v]
         if name == "REGEX":
             flags = self.constant(args[2]) if len(args) > 2 else ""
-            return boolean(t[0].rlike(f"(?{flags}){self.constant(args[1])}" if flags else self.constant(args[1])))
+            return boolean(t[0].rlike(self.regex(f"(?{flags})" if flags else "", args[1])))
         if name == "REPLACE":
-            return text(F.regexp_replace(t[0], self.constant(args[1]), self.constant(args[2])))
+            return text(F.regexp_replace(t[0], self.regex("", args[1]), self.constant(args[2])))
         of_term = {"ISLITERAL": T.is_literal, "ISIRI": T.is_iri, "ISURI": T.is_iri, "ISBLANK": T.is_blank, "ISNUMERIC": T.is_numeric}
         if name in of_term:
             return boolean(of_term[name](v[0].term))
@@ -169,6 +170,15 @@ class Planner:
             return Value(F.concat(F.lit('"'), t[0], F.lit(f'"^^<{name}>')))
         raise SparqlError(f"unknown function {name}")
 
+    def regex(self, flags: str, e) -> str:
+        """A constant pattern, refused here if it is none: else each row would fail."""
+        pattern = flags + self.constant(e)
+        try:
+            self.spark._jvm.java.util.regex.Pattern.compile(pattern)
+        except Py4JJavaError as error:
+            raise SparqlError(f"bad pattern {pattern!r}") from error
+        return pattern
+
     @staticmethod
     def constant(e) -> str:
         if not isinstance(e, Term):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 from urllib.error import HTTPError, URLError
 from urllib.parse import quote
 from urllib.request import Request, urlopen
@@ -45,6 +46,32 @@ def run(spark: SparkSession, graph: Graph, query: str, prefixes: dict[str, str]
         return record(status="error", error="query_error", message=str(e)[:MESSAGE])
 
 
+def records(spark: SparkSession, graph: Graph, queries: dict[str, str], prefixes: dict[str, str] | None = None, most: int = ROWS) -> DataFrame:
+    """name, and the columns of RECORD, of queries by name: as `run`, but as one frame; results stay with the workers.
+
+    A query that cannot be planned is an error record. Each query is a plan of its own, so these are lists of queries.
+    """
+    kinds = dict(x.split(" ", 1) for x in RECORD.split(", "))
+    out = []
+    for name, text in queries.items():
+        held: dict[str, Column] = {}
+        try:
+            df = sparql(graph, text, spark, prefixes)
+            if df.columns == ["boolean"]:
+                own = df
+                held = {"status": F.lit("ok"), "type": F.lit("ask"), "boolean": F.col("boolean")}
+            else:
+                cells = F.map_from_arrays(F.array(*map(F.lit, df.columns)), F.array(*(F.col(f"`{c}`").cast("string") for c in df.columns)))
+                own = df.limit(most).agg(F.collect_list(F.map_filter(cells, lambda _, v: v.isNotNull())).alias("shown")).crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))
+                some = F.col("total") > 0
+                held = {"status": F.when(some, "ok").otherwise("empty"), "type": F.when(some, "select"), "rowCount": F.col("total"), "vars": F.array(*map(F.lit, df.columns)), "rows": F.when(some, F.col("shown")), "rowsTruncated": F.when(some, F.col("total") > most), "error": F.when(~some, "empty")}
+        except (SparqlError, PySparkException) as e:
+            own = spark.range(1)
+            held = {"status": F.lit("error"), "error": F.lit("query_error"), "message": F.lit(str(e)[:MESSAGE])}
+        out.append(own.select(F.lit(name).alias("name"), *(held.get(n, F.lit(None)).cast(kinds.get(n, "string").strip()).alias(n) for n in _names)))
+    return reduce(DataFrame.union, out)
+
+
 def parsed(text: str, most: int = ROWS) -> dict:
     """The record of a result in SPARQL's JSON format."""
     try:

@@ -196,3 +196,13 @@ def test_streamed_counters(spark, tmp_path):
     finally:
         q.stop()
     assert [tuple(r) for r in spark.table("counters").groupBy().sum("ok", "error", "timeout", "tokens").collect()] == [(2, 2, 1, 10)]
+
+
+def test_records_are_those_of_single_runs(spark):
+    from lattica.plans.graph import Graph
+
+    g = Graph(triples=spark.createDataFrame([(f"<a{k}>", "<p>", f'"{k}"') for k in range(30)], "s string, p string, o string"))
+    queries = {"many": "SELECT ?x ?n { ?x <p> ?n } ORDER BY ?x", "one": 'SELECT ?x ?n { ?x <p> "3" . OPTIONAL { ?x <q> ?n } }', "none": "SELECT ?x { ?x <q> ?y }", "yes": "ASK { ?x <p> ?y }", "bad": "SELECT", "pattern": 'SELECT ?x { ?x <p> ?n . FILTER(REGEX(?n, "[")) }'}
+    for r in results.records(spark, g, queries).collect():
+        want = results.run(spark, g, queries[r["name"]])
+        assert {k: v for k, v in r.asDict().items() if k != "name"} == want, r["name"]
