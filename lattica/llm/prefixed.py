@@ -128,15 +128,30 @@ def links(seen: DataFrame, joined: DataFrame, similarity: float) -> DataFrame:
     sparse = x.join(y, both).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     crowded = met.where(F.col("n") > CROWD)
     own = common.keep(seen.join(common.small(joined.select(F.col("sample").alias("item"))), "item").select("node", "sketch").join(common.small(crowded.select("node").distinct()), "node"), "crowded")
-    return sparse.union(blocks(crowded.join(common.small(own), "node"), similarity)).distinct()
+    return sparse.union(blocks(dealt(crowded).join(common.small(own), "node"), similarity)).distinct()
+
+
+def dealt(members: DataFrame) -> DataFrame:
+    """members(shingle, n, node, root, size, at) of crowded shingles with lo, hi, own: each as often as its block meets one.
+
+    Only members of different roots are compared. The largest root of a shingle has blocks of its own, which meet those of
+    the other roots and no others; these meet each other, too. So a family that is one root already, however large, is met
+    by the members that are not in it: each of its rows is there once for each block of those.
+    """
+    held = members.groupBy("shingle", "root").agg(F.count("*").alias("rows"))
+    largest = common.keep(held.groupBy("shingle").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.max("rows").alias("most")), "largest")
+    rest, main = F.greatest(F.ceil((F.col("n") - F.col("most")) / BLOCK), F.lit(1)), F.ceil(F.col("most") / BLOCK)
+    deal = F.xxhash64("node", "shingle")
+    inside = F.col("root") == F.col("main")
+    own = F.when(inside, rest + F.pmod(deal, main)).otherwise(F.pmod(deal, rest))
+    other = F.when(inside, F.sequence(F.lit(0).cast("long"), rest - 1)).otherwise(F.sequence(F.lit(0).cast("long"), rest + main - 1))
+    each = common.salted(members, largest, "shingle", "node").withColumn("own", own).withColumn("other", F.explode(other))
+    return each.select("shingle", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "root", "size", "at")
 
 
 def blocks(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b), b < a, as of `links`, of members(shingle, n, node, root, size, at, sketch) of crowded shingles: those
-    that sketches allow. A shingle's members are dealt to blocks, and every two blocks, and each alone, meet in one call."""
-    each = F.ceil(F.col("n") / BLOCK)
-    dealt = members.withColumn("own", F.pmod(F.xxhash64("node", "shingle"), each)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), each - 1)))
-    dealt = dealt.select("shingle", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "root", "size", "at", "sketch")
+    """Pairs (a, b), b < a, as of `links`, of members(shingle, lo, hi, own, node, root, size, at, sketch) of crowded
+    shingles: those that sketches allow. Two blocks of a shingle, or one alone, meet in one call."""
 
     def work(one: pd.DataFrame) -> pd.DataFrame:
         lo, hi, own = one["lo"].iloc[0], one["hi"].iloc[0], one["own"].to_numpy()
@@ -168,7 +183,7 @@ def blocks(members: DataFrame, similarity: float) -> DataFrame:
         pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
         return pd.DataFrame({"a": pairs.max(axis=0), "b": pairs.min(axis=0)})
 
-    return dealt.groupBy("shingle", "lo", "hi").applyInPandas(work, "a long, b long")
+    return members.groupBy("shingle", "lo", "hi").applyInPandas(work, "a long, b long")
 
 
 class Sets:

@@ -55,6 +55,37 @@ def test_crowded_shingles_are_compared_in_blocks(spark, monkeypatch):
     assert got(spark, rows) == want and 2 < len(set(want.values())) < 80
 
 
+def members(spark, roots):
+    """Crowded shingles whose members have these roots."""
+    rows = [(shingle, len(own), 1000 * shingle + k, r, 100, 0) for shingle, own in enumerate(roots) for k, r in enumerate(own)]
+    return spark.createDataFrame(rows, "shingle long, n long, node long, root long, size int, at int")
+
+
+def test_only_different_roots_meet(spark, monkeypatch):
+    """Every two members of different roots meet once; a large root's members do not meet each other."""
+    monkeypatch.setattr(prefixed, "BLOCK", 5)
+    rng = np.random.default_rng(3)
+    roots = [[1] * 40 + [2], [1] * 12 + [2] * 12 + [3] * 3, list(range(30)), [int(x) for x in rng.integers(0, 4, 60)], [7] * 3 + [8] * 2]
+    calls = {}
+    for r in prefixed.dealt(members(spark, roots)).collect():
+        calls.setdefault((r["shingle"], r["lo"], r["hi"]), []).append(r)
+    met = {}
+    for (shingle, lo, hi), rows in calls.items():
+        for a in rows:
+            for b in rows:
+                if a["own"] == lo and b["own"] == hi and a["root"] != b["root"] and (lo != hi or a["node"] < b["node"]):
+                    pair = (shingle, *sorted((a["node"], b["node"])))
+                    met[pair] = met.get(pair, 0) + 1
+    want = {(s, 1000 * s + j, 1000 * s + k) for s, own in enumerate(roots) for k in range(len(own)) for j in range(k) if own[j] != own[k]}
+    assert set(met) == want and set(met.values()) == {1}
+
+
+def test_a_family_and_one_more_make_few_rows(spark):
+    """4000 joined members and a straggler in each of ten shingles: a row a member, where every two blocks made four."""
+    rows = prefixed.dealt(members(spark, [[1] * 4000 + [2]] * 10)).count()
+    assert rows == 10 * (4000 + 1 + 4)
+
+
 def test_repeated_lines_do_not_decide(spark):
     rng = np.random.default_rng(9)
     words = lambda n: [f"w{x}" for x in rng.integers(0, 50_000, n)]
