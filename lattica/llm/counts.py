@@ -6,7 +6,7 @@ An entry whose symbols have meanwhile changed is passed over. A pre-token of n b
 
 A document is counted where it is read, in one narrow pass. Pre-tokens are those of the file's own pre-tokenizer, since its
 character classes belong to a version of Unicode. It never joins characters across a single space between two others, so a
-text is cut there; the counts of short cuts are kept in a worker, in a table that is cleared when full. Long texts are taken
+text is cut there; the counts of short cuts are kept in a worker, from task to task, in a table that is cleared when full. Long texts are taken
 in pieces that end at such a space, long pre-tokens are cut between two bytes that stand side by side in no token.
 """
 
@@ -26,7 +26,7 @@ from . import common
 from .tokens import _byte_characters, byte_level, default_path
 
 #: Entries of a worker's table of counts, and characters of a cut that enters it, at most.
-KNOWN_CUTS, KNOWN_LENGTH = 500_000, 64
+KNOWN_CUTS, KNOWN_LENGTH = 1_500_000, 64
 #: Characters of a text that are cut at once; bytes of a pre-token above which it is cut where no token can cross.
 PIECE, LONG = 1 << 20, 1 << 12
 #: Ids and places are below these powers of two, so a pair of ids is one number, and a rank and a place are.
@@ -53,13 +53,18 @@ class Cuts(dict):
         return n
 
     def count(self, cut: str) -> int:
-        """A word is one pre-token with its space, a mark after it another, of one byte."""
-        if 0 < len(cut) <= KNOWN_LENGTH:
-            if cut.isalpha() and max(cut) < OLD_LETTERS:
-                return self.counter.in_bytes(b" " + cut.encode())
-            if cut[-1] in string.punctuation and cut[:-1].isalpha() and max(cut) < OLD_LETTERS:
+        """A word is one pre-token with its space, a mark after it another, of one byte, and a line's end between two
+        other characters is one of its own. What follows a line's end is known by that and itself: no cut begins so."""
+        begin, word = (b"", cut[1:]) if cut[:1] == "\n" else (b" ", cut)
+        if 0 < len(word) <= KNOWN_LENGTH:
+            if word.isalpha() and max(word) < OLD_LETTERS:
+                return self.counter.in_bytes(begin + word.encode())
+            if word[-1] in string.punctuation and word[:-1].isalpha() and max(word) < OLD_LETTERS:
                 return self[cut[:-1]] + 1
-        return self.counter.in_pre_tokens(" " + cut)
+            at = word.find("\n")
+            if 0 < at < len(word) - 1 and not word[at - 1].isspace() and not word[at + 1].isspace():
+                return self[cut[: at + len(cut) - len(word)]] + 1 + self[word[at:]]
+        return self.counter.in_pre_tokens(begin.decode() + word)
 
 
 class Counter:
@@ -174,10 +179,6 @@ class Counter:
             begin = m.end()
         return total + self.in_text(text[begin:])
 
-    def forget(self) -> None:
-        self.cuts.clear()
-        self.known.clear()
-
 
 def counter(path: str) -> Counter:
     if path not in _counters:
@@ -201,7 +202,6 @@ def token_counts(docs: DataFrame, limit: int = 512, tokenizer: str | None = None
         for batch in batches:
             counts = [own.count(t.as_py() or "") for t in batch.column(2)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], schema=schema)
-        own.forget()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
