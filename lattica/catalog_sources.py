@@ -12,6 +12,7 @@ from .functions import text as X
 from .operators import kg, reports, schema
 from .plans.graph import Graph
 from .plans.planner import sparql
+from .plans.recovery import recovered
 from .plans.star import NS, PREFIXES, star_graph
 from .sources import files, serialise
 from .sources.turtle import read_turtle
@@ -304,3 +305,15 @@ def graph_documents(spark: SparkSession, d: str) -> DataFrame:
     g = star_graph(spark, d).only([f"<{NS}{p}>" for p in ("partname", "brand", "size")])
     lines = serialise.documents(g.triples(), "turtle")
     return lines.select(F.regexp_extract("value", "^(<[^>]*>) ", 1).alias("s")).where("s <> ''").distinct()
+
+
+# --- recovered queries: what a count was about -----------------------------------------------------------------------
+
+
+def over_recovered(name: str, text: str, sql: str) -> None:
+    """The rewriting of a query that counts, as it stands, over the star graph."""
+    over_star(name, recovered(text), sql)
+
+
+over_recovered("recovery_grouped", "SELECT (COUNT(DISTINCT ?c) AS ?k) ?n WHERE { ?c :nation ?n . } GROUP BY ?n ORDER BY DESC(?k) LIMIT 5", "SELECT 'urn:x:customer/' || c_custkey AS c FROM customer ORDER BY 1 DESC LIMIT 5")
+over_recovered("recovery_filtered", "SELECT (AVG(?t) AS ?m) (COUNT(?o) AS ?k) WHERE { ?o :total ?t ; :priority ?p . FILTER(?t > 400000) } GROUP BY ?p", "SELECT 'urn:x:order/' || o_orderkey AS o FROM orders WHERE o_totalprice > 400000")
