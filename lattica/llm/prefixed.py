@@ -136,15 +136,18 @@ def dealt(members: DataFrame) -> DataFrame:
 
     Only members of different roots are compared. The largest root of a shingle has blocks of its own, which meet those of
     the other roots and no others; these meet each other, too. So a family that is one root already, however large, is met
-    by the members that are not in it: each of its rows is there once for each block of those.
+    by the members that are not in it: each of its rows is there once for each block of those. A shingle of at most one
+    block's members is one block.
     """
     held = members.groupBy("shingle", "root").agg(F.count("*").alias("rows"))
     largest = common.keep(held.groupBy("shingle").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.max("rows").alias("most")), "largest")
     rest, main = F.greatest(F.ceil((F.col("n") - F.col("most")) / BLOCK), F.lit(1)), F.ceil(F.col("most") / BLOCK)
     deal = F.xxhash64("node", "shingle")
     inside = F.col("root") == F.col("main")
-    own = F.when(inside, rest + F.pmod(deal, main)).otherwise(F.pmod(deal, rest))
-    other = F.when(inside, F.sequence(F.lit(0).cast("long"), rest - 1)).otherwise(F.sequence(F.lit(0).cast("long"), rest + main - 1))
+    zero = F.lit(0).cast("long")
+    one = F.col("n") <= BLOCK
+    own = F.when(one, zero).when(inside, rest + F.pmod(deal, main)).otherwise(F.pmod(deal, rest))
+    other = F.when(one, F.array(zero)).when(inside, F.sequence(F.lit(0).cast("long"), rest - 1)).otherwise(F.sequence(F.lit(0).cast("long"), rest + main - 1))
     each = common.salted(members, largest, "shingle", "node").withColumn("own", own).withColumn("other", F.explode(other))
     return each.select("shingle", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "root", "size", "at")
 
